@@ -51,10 +51,10 @@ def _nfkc(s: pd.Series) -> pd.Series:
 
 
 def _expand(col: Column) -> Column:
-    out = col
-    for c in _EXPANDING:
-        out = F.replace(out, F.lit(c), F.lit(unicodedata.normalize("NFKC", c)))
-    return F.when(col.rlike(_EXPANDING_CLASS), out).otherwise(col)
+    """Letter by letter, only for texts that hold a character with a longer form."""
+    table = F.create_map(*[F.lit(x) for c in _EXPANDING for x in (c, unicodedata.normalize("NFKC", c))])
+    letters = F.transform(F.split(col, ""), lambda c: F.coalesce(F.try_element_at(table, c), c))
+    return F.when(col.rlike(_EXPANDING_CLASS), F.array_join(letters, "")).otherwise(col)
 
 
 def collapse(col: Column) -> Column:

@@ -8,13 +8,12 @@ from pyspark.sql import functions as F
 from liasse.operators import segment
 from liasse.operators.chunking import build_chunks
 from liasse.operators.segment import DOC
+from liasse.session import path_exists
 from liasse.sources import corpus
 
 
 def _stored(spark: SparkSession, root: str, name: str) -> DataFrame | None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    return corpus.read_table(spark, root, name) if fs.exists(path) else None
+    return corpus.read_table(spark, root, name) if path_exists(spark, f"{root}/{name}") else None
 
 
 def ingest_batch(spark: SparkSession, pages: DataFrame, root: str, batch: str) -> None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str | int = 8, app: str = "liasse") -> SparkSession:
@@ -28,10 +28,23 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all executors see, as the cluster names it.
 
     Only where ``spark.checkpoint.dir`` is unset (single-machine tests) a
-    temporary folder is made and set.
+    temporary folder is made.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
         named = tempfile.mkdtemp(prefix="liasse-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", named)
+        spark.sparkContext.setCheckpointDir(named)
     return named
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def written_once(df_of, spark: SparkSession, name: str) -> DataFrame:
+    """A derived table written once per application to the shared folder and read from there."""
+    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}"
+    if not path_exists(spark, f"{path}/_SUCCESS"):
+        df_of().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from liasse.session import written_once
 from liasse.workload import casefile
 
 
@@ -44,9 +47,14 @@ def _sql(spark: SparkSession, d: str, sql: str) -> DataFrame:
     return spark.sql(named, orders=table(spark, d, "orders"), customer=table(spark, d, "customer"))
 
 
+def _stored(spark: SparkSession, d: str, name: str, sql: str) -> DataFrame:
+    key = hashlib.sha1(d.encode()).hexdigest()[:12]
+    return written_once(lambda: _sql(spark, d, sql), spark, f"{name}-{key}")
+
+
 def case_pages(spark: SparkSession, d: str) -> DataFrame:
-    """Case-file pages: one per order."""
-    return _sql(spark, d, casefile.PAGES)
+    """Case-file pages, one per order, as a stored table."""
+    return _stored(spark, d, "casefile", casefile.PAGES)
 
 
 def case_chunks(spark: SparkSession, d: str) -> DataFrame:
@@ -56,7 +64,7 @@ def case_chunks(spark: SparkSession, d: str) -> DataFrame:
 
 def persons(spark: SparkSession, d: str) -> DataFrame:
     """One person per customer, with one alias."""
-    return _sql(spark, d, casefile.PERSONS).withColumn("aliases", F.array("last_name"))
+    return _stored(spark, d, "persons", casefile.PERSONS).withColumn("aliases", F.array("last_name"))
 
 
 def vectors(spark: SparkSession, d: str) -> DataFrame:
