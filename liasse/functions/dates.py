@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from liasse import rules
-from liasse.functions.text import norm_text
+from liasse.functions.text import let, norm_text
 
 
 def month_number(name: Column) -> Column:
@@ -27,8 +27,8 @@ def _first_in_range(matches: Column, ymd) -> Column:
     """First match whose month and day are in range, as ISO; null when there is none."""
     dated = F.transform(matches, lambda m: F.struct(*[c.cast("int").alias(n) for c, n in zip(ymd(m), "ymd")]))
     fit = F.filter(dated, lambda t: t["m"].between(1, 12) & t["d"].between(1, 31))
-    hit = F.try_element_at(fit, F.lit(1))
-    return F.when(hit.isNotNull(), iso_clamped(hit["y"], hit["m"], hit["d"]))
+    return let(F.try_element_at(fit, F.lit(1)), lambda hit: F.when(
+        hit.isNotNull(), iso_clamped(hit["y"], hit["m"], hit["d"])))
 
 
 def _all(text: Column, pattern: str) -> Column:
@@ -36,17 +36,18 @@ def _all(text: Column, pattern: str) -> Column:
 
 
 def text_dates(text: Column) -> list[tuple[str, Column]]:
-    """The four text rules in order, each giving an ISO date or null."""
-    plain = F.regexp_replace(text, rules.TIME_TRAIL, "")
-    at = lambda parts, i: F.element_at(parts, i)
+    """The four text rules in order, each giving an ISO date or null.
+
+    ``text`` should be a plain column or lambda variable; it is read four times.
+    """
 
     def dmy(m):
         p = F.split(m, r"[./\-]")
-        return at(p, 3), at(p, 2), at(p, 1)
+        return p[2], p[1], p[0]
 
     def ymd(m):
         p = F.split(m, r"[\-/]")
-        return at(p, 1), at(p, 2), at(p, 3)
+        return p[0], p[1], p[2]
 
     def words(m):
         part = lambda i: F.regexp_extract(m, rules.DATE_WORDS, i)
@@ -56,13 +57,18 @@ def text_dates(text: Column) -> list[tuple[str, Column]]:
         return F.substring(m, 1, 4), F.substring(m, 5, 2), F.substring(m, 7, 2)
 
     return [
-        ("text_dmy", _first_in_range(_all(plain, rules.DATE_DMY), dmy)),
-        ("text_ymd", _first_in_range(_all(plain, rules.DATE_YMD), ymd)),
-        ("text_words", _first_in_range(_all(plain, rules.DATE_WORDS), words)),
-        ("text_compact", _first_in_range(_all(plain, rules.DATE_COMPACT), compact)),
+        ("text_dmy", _first_in_range(_all(text, rules.DATE_DMY), dmy)),
+        ("text_ymd", _first_in_range(_all(text, rules.DATE_YMD), ymd)),
+        ("text_words", _first_in_range(_all(text, rules.DATE_WORDS), words)),
+        ("text_compact", _first_in_range(_all(text, rules.DATE_COMPACT), compact)),
     ]
 
 
+def without_times(text: Column) -> Column:
+    """``à 14h30`` behind a date would only get in the way."""
+    return F.regexp_replace(text, rules.TIME_TRAIL, "")
+
+
 def file_dates(name: Column) -> list[tuple[str, Column]]:
     """The four file-name rules in order. Out-of-range parts are clamped, not refused."""
 

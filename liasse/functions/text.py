@@ -50,6 +50,11 @@ def _nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
 
+def let(col: Column, body) -> Column:
+    """``body`` of a value that is computed once (lambda bodies would compute it again each time)."""
+    return F.element_at(F.transform(F.array(col), body), 1)
+
+
 def _expand(col: Column) -> Column:
     """Letter by letter, only for texts that hold a character with a longer form."""
     table = F.create_map(*[F.lit(x) for c in _EXPANDING for x in (c, unicodedata.normalize("NFKC", c))])

@@ -9,6 +9,7 @@ from liasse import rules
 from liasse.functions.text import clean_ws, pack_chunks, sentences
 from liasse.operators import identity, segment
 from liasse.operators.segment import DOC
+from liasse.session import staged
 from liasse.plans.ordering import capped_concat, name_block, page_block, running_total
 
 CHUNK_COLUMNS = [
@@ -26,11 +27,15 @@ def _item(kind: str, local: int, text: str):
     ).otherwise(F.array().cast(_ITEM))
 
 
-def page_items(pages: DataFrame, size: int = rules.CHUNK_SIZE, overlap: int = rules.CHUNK_OVERLAP) -> DataFrame:
-    """One row per page with its chunks as an array: anchor and fact on a unit's first page, then text."""
-    numbered = segment.number_units(pages)
+def page_items(pages: DataFrame, size: int = rules.CHUNK_SIZE, overlap: int = rules.CHUNK_OVERLAP,
+               staging: str | None = None) -> DataFrame:
+    """One row per page with its chunks as an array: anchor and fact on a unit's first page, then text.
+
+    The pages with their unit numbers are staged: units, anchors, facts and chunks all read them.
+    """
+    numbered = staged(segment.number_units(pages), staging and f"{staging}/numbered")
     docs = segment.tag_documents(pages)
-    units = segment.tag_unit_type(segment.units_of(numbered).join(docs, DOC))
+    units = staged(segment.tag_unit_type(segment.units_of(numbered).join(docs, DOC)), staging and f"{staging}/units")
     anchors = segment.unit_anchors(numbered, units).select(*DOC, "unit_index", F.col("text").alias("_anchor"))
     facts = identity.identity_facts(numbered, units).select(*DOC, "unit_index", F.col("fact").alias("_fact"))
     full = units.join(anchors, [*DOC, "unit_index"], "left").join(facts, [*DOC, "unit_index"], "left")
@@ -83,13 +88,10 @@ def number_chunks(items: DataFrame, base: DataFrame | None = None) -> DataFrame:
 
 def build_chunks(pages: DataFrame, base: DataFrame | None = None, staging: str | None = None,
                  size: int = rules.CHUNK_SIZE, overlap: int = rules.CHUNK_OVERLAP) -> DataFrame:
-    """Whole ingestion of pages. With ``staging`` the packed pages are written once and read
-    back, so a large run does not pack them a second time for the counts."""
-    items = page_items(pages, size, overlap)
-    if staging:
-        items.write.mode("overwrite").parquet(staging)
-        items = pages.sparkSession.read.parquet(staging)
-    return number_chunks(items, base)
+    """Whole ingestion of pages. The packed pages are staged (under ``staging``, else in the shared
+    folder), so that the counts behind the ordinals do not pack them again."""
+    items = page_items(pages, size, overlap, staging)
+    return number_chunks(staged(items, staging and f"{staging}/items"), base)
 
 
 def chunk_pages(pages: DataFrame, size: int = rules.CHUNK_SIZE, overlap: int = rules.CHUNK_OVERLAP) -> DataFrame:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from liasse import rules
 from liasse.functions import dates
-from liasse.functions.text import clean_ws, sha1_unit_id, strip_ends
+from liasse.functions.text import clean_ws, fold_chars, let, sha1_unit_id, strip_ends
+from liasse.session import staged
 from liasse.plans.ordering import first_rows, page_block, running_total
 
 DOC = ["case_id", "source"]
@@ -30,16 +31,21 @@ def tag_dates(docs: DataFrame, text: str = "head_text", source: str = "source",
     the day does not exist). ``loose_filename`` reads ``_`` as a separator.
     """
     name = F.translate(F.col(source), "_", " ") if loose_filename else F.col(source)
-    found = dates.text_dates(strip_ends(F.coalesce(text, F.lit("")))) + dates.file_dates(name)
-    tried = F.array(*[F.struct(F.lit(rule).alias("rule"), iso.alias("iso")) for rule, iso in found])
-    hit = F.try_element_at(F.filter("_tried", lambda t: t["iso"].isNotNull()), F.lit(1))
+
+    def first_hit(rules_) -> Column:
+        """The first rule that gives a date; the later ones are then not tried."""
+        def named(rule):
+            return lambda x: F.when(x.isNotNull(), F.struct(F.lit(rule).alias("rule"), x.alias("iso")))
+
+        return F.coalesce(*[let(iso, named(rule)) for rule, iso in rules_])
+
+    from_text = let(dates.without_times(strip_ends(F.coalesce(text, F.lit("")))), lambda t: first_hit(dates.text_dates(t)))
     return (
-        docs.withColumn("_tried", tried)
-        .withColumn("_hit", hit)
+        docs.withColumn("_hit", F.coalesce(from_text, first_hit(dates.file_dates(name))))
         .withColumn("doc_date", F.col("_hit.iso"))
         .withColumn("date_rule", F.col("_hit.rule"))
         .withColumn("doc_date_d", F.try_to_date("doc_date", "yyyy-MM-dd"))
-        .drop("_tried", "_hit")
+        .drop("_hit")
     )
 
 
@@ -60,9 +66,11 @@ def page_lines(text: Column) -> Column:
 
 
 def _form_score(lines: Column) -> tuple[Column, Column]:
-    head = F.lower(F.array_join(F.slice(lines, 1, 30), "\n"))
-    score = sum((head.rlike(p).cast("int") for p in rules.FORM_FIELDS), F.lit(0))
-    return score, (score >= 3) | ((score >= 2) & head.rlike(rules.FORM_FILIATION))
+    head = fold_chars(F.array_join(F.slice(lines, 1, 30), "\n"))
+    found = let(head, lambda h: F.struct(
+        F.when(h.rlike(r"[:\-]"), sum((h.rlike(p).cast("int") for p in rules.FORM_FIELDS), F.lit(0))).otherwise(0).alias("n"),
+        h.rlike(rules.FORM_FILIATION).alias("filiation")))
+    return found["n"], let(found, lambda f: (f["n"] >= 3) | ((f["n"] >= 2) & f["filiation"]))
 
 
 def score_forms(pages: DataFrame) -> DataFrame:
@@ -82,7 +90,9 @@ def detect_titles(pages: DataFrame) -> DataFrame:
     letters = lambda x: F.length(F.regexp_replace(x, r"[^\p{L}]", ""))
     capitals = lambda x: F.length(F.regexp_replace(x, r"[^\p{Lu}]", ""))
     first = lambda arr: F.try_element_at(arr, F.lit(1))
-    motif = first(F.filter(head, lambda x: x.rlike(rules.TITLE_MOTIFS)))
+    # a cheap look for any word of the motifs spares most pages the full patterns
+    cue = fold_chars(F.array_join(head, "\n")).rlike(rules.TITLE_CUES)
+    motif = F.when(cue, first(F.filter(head, lambda x: x.rlike(rules.TITLE_MOTIFS))))
     shout = first(F.filter(head, lambda x: F.length(x).between(8, 180) & (letters(x) > 0)
                            & (capitals(x) >= 0.6 * letters(x))))
     _, is_form = _form_score(F.col("_lines"))
@@ -93,14 +103,15 @@ def detect_titles(pages: DataFrame) -> DataFrame:
     )
 
 
-def number_units(pages: DataFrame) -> DataFrame:
-    """Pages with ``title`` and ``unit_index``: a titled page that follows another opens a unit.
+def number_pages(pages: DataFrame) -> DataFrame:
+    """case_id, source, page, title, unit_index: a titled page that follows another opens a unit.
 
-    The running count goes over page blocks, so one very long document does
-    not land in one task.
+    Titles are staged without the texts, and only this narrow table goes
+    through the running count. The count goes over page blocks, so one very
+    long document does not land in one task.
     """
-    titled = detect_titles(pages)
-    opening = pages.groupBy(*DOC).agg(F.min("page").alias("_first"))
+    titled = staged(detect_titles(pages).select(*DOC, "page", "title"))
+    opening = titled.groupBy(*DOC).agg(F.min("page").alias("_first"))
     flagged = titled.join(opening, DOC).withColumn(
         "_opens", (F.col("title").isNotNull() & (F.col("page") > F.col("_first"))).cast("int"))
     counted = running_total(flagged, DOC, ["page"], F.col("_opens"), page_block("page"), "_seen")
@@ -108,6 +119,11 @@ def number_units(pages: DataFrame) -> DataFrame:
         "_first", "_opens", "_seen")
 
 
+def number_units(pages: DataFrame) -> DataFrame:
+    """Pages with ``title`` and ``unit_index``."""
+    return pages.join(number_pages(pages), [*DOC, "page"])
+
+
 def units_of(numbered: DataFrame) -> DataFrame:
     """One row per unit. A first unit without title is called after the file."""
     units = numbered.groupBy(*DOC, "unit_index").agg(
@@ -126,7 +142,7 @@ def units_of(numbered: DataFrame) -> DataFrame:
 
 def segment_units(pages: DataFrame) -> DataFrame:
     """Pages to logical units."""
-    return units_of(number_units(pages))
+    return units_of(number_pages(pages))
 
 
 def tag_unit_type(units: DataFrame, doc_type: str = "doc_type") -> DataFrame:
@@ -156,21 +172,22 @@ def unit_heads(numbered: DataFrame, n: int) -> DataFrame:
 def anchor_text(head: Column) -> Column:
     """Text of a unit's anchor chunk; null where its first pages are empty."""
     pages = F.filter(F.slice(head, 1, rules.ANCHOR_PAGES), lambda t: t != "")
-    body = clean_ws(F.array_join(pages, "\n"))
-    cut = F.when(F.length(body) > rules.ANCHOR_CHARS, F.rtrim(F.left(body, F.lit(rules.ANCHOR_CHARS)))).otherwise(body)
     word = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    head_lines = [
-        F.lit("ACTE / UNITÉ (ancre de retrieval — extrait source, non résumé)"),
-        F.concat(F.lit("SOURCE: "), word("source")),
-        F.concat(F.lit("DOC_TYPE: "), word("doc_type")),
-        F.concat(F.lit("DOC_DATE: "), word("doc_date")),
-        F.concat(F.lit("UNIT_TITLE: "), word("unit_title")),
-        F.concat(F.lit("UNIT_TYPE: "), word("unit_type")),
-        F.concat(F.lit("PAGES_UNIT: "), word("page_start"), F.lit("-"), word("page_end")),
-        F.lit(""),
-        cut,
-    ]
-    return F.when(body != "", F.concat_ws("\n", *head_lines))
+
+    def write(body: Column) -> Column:
+        return F.when(body != "", F.concat_ws(
+            "\n",
+            F.lit("ACTE / UNITÉ (ancre de retrieval — extrait source, non résumé)"),
+            F.concat(F.lit("SOURCE: "), word("source")),
+            F.concat(F.lit("DOC_TYPE: "), word("doc_type")),
+            F.concat(F.lit("DOC_DATE: "), word("doc_date")),
+            F.concat(F.lit("UNIT_TITLE: "), word("unit_title")),
+            F.concat(F.lit("UNIT_TYPE: "), word("unit_type")),
+            F.concat(F.lit("PAGES_UNIT: "), word("page_start"), F.lit("-"), word("page_end")),
+            F.lit(""),
+            F.rtrim(F.left(body, F.lit(rules.ANCHOR_CHARS)))))
+
+    return let(clean_ws(F.array_join(pages, "\n")), write)
 
 
 def unit_anchors(numbered: DataFrame, units: DataFrame) -> DataFrame:
@@ -178,9 +195,9 @@ def unit_anchors(numbered: DataFrame, units: DataFrame) -> DataFrame:
     heads = unit_heads(numbered, rules.ANCHOR_PAGES)
     return (
         units.join(heads, [*DOC, "unit_index"])
-        .withColumn("text", anchor_text(F.col("head")))
-        .drop("head")
-        .filter(F.col("text").isNotNull())
+        .withColumn("_texts", F.array_compact(F.array(anchor_text(F.col("head")))))
+        .withColumn("text", F.explode("_texts"))
+        .drop("head", "_texts")
     )
 
 
@@ -192,11 +209,12 @@ def unit_text(pages: DataFrame, keys: DataFrame | None = None, cap: int = 2_000_
     """
     from liasse.plans.ordering import capped_concat
 
-    numbered = number_units(pages)
+    flags = staged(number_pages(pages))
+    units = units_of(flags)
     if keys is not None:
-        numbered = numbered.join(keys, [*DOC, "unit_index"], "left_semi")
-    units = units_of(numbered) if keys is None else units_of(number_units(pages)).join(
-        keys, [*DOC, "unit_index"], "left_semi")
+        flags = flags.join(keys, [*DOC, "unit_index"], "left_semi")
+        units = units.join(keys, [*DOC, "unit_index"], "left_semi")
+    numbered = staged(pages.join(flags, [*DOC, "page"]))
     heads = unit_heads(numbered, 2).withColumn("head_text", F.array_join("head", " \n")).drop("head")
     tags = tag_types(tag_dates(heads)).drop("head_text", "date_rule", "doc_date_d")
     body = capped_concat(

@@ -36,7 +36,7 @@ def ingest_batch(spark: SparkSession, pages: DataFrame, root: str, batch: str) -
         earlier = stored.filter(F.col("batch") != batch)
         base = earlier.groupBy("case_id").agg((F.max("chunk_ord") + 1).alias("n_chunks"))
     units = segment.tag_unit_type(segment.segment_units(new).join(segment.tag_documents(new), DOC))
-    build_chunks(new, base, staging=f"{staged}/items").write.mode("overwrite").parquet(f"{staged}/chunks")
+    build_chunks(new, base, staging=staged).write.mode("overwrite").parquet(f"{staged}/chunks")
     chunks = spark.read.parquet(f"{staged}/chunks")
     tables = {"chunks": chunks, "documents": corpus.build_catalog(chunks, units, new)}
     corpus.write_corpus({n: t.withColumn("batch", F.lit(batch)) for n, t in tables.items()}, root)

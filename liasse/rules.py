@@ -85,14 +85,16 @@ TITLE_MOTIFS = (
     r"|\bcontr[ôo]le\s+d['’]?\s*identit[ée]\b|\b[eé]tat\s+civil\b|\bsignalement\b|\bfiliation\b"
     r"|\brapport\b|\bexpertise\b|\bconstat(?:ation|ations)?\b"
 )
+# words of which any title motif has one
+TITLE_CUES = "verbal|audition|vue|gav|identite|civil|signalement|filiation|rapport|expertise|constat"
+# on lower-case text without accents
 FORM_FIELDS = [
-    r"(?iU)\bnom\s*[:\-]", r"(?iU)\bpr[eé]nom\s*[:\-]",
-    r"(?iU)\bdate\s+et\s+lieu\s+de\s+naissance\s*[:\-]", r"(?iU)\bdate\s+de\s+naissance\s*[:\-]",
-    r"(?iU)\blieu\s+de\s+naissance\s*[:\-]", r"(?iU)\bfiliation\s*[:\-]",
-    r"(?iU)\badresse\s*[:\-]", r"(?iU)\bdomicile\s*[:\-]",
-    r"(?iU)\bn0m\s*[:\-]", r"(?iU)\bpr[eé]n0m\s*[:\-]",
+    r"(?U)\bnom\s*[:\-]", r"(?U)\bprenom\s*[:\-]", r"(?U)\bdate\s+et\s+lieu\s+de\s+naissance\s*[:\-]",
+    r"(?U)\bdate\s+de\s+naissance\s*[:\-]", r"(?U)\blieu\s+de\s+naissance\s*[:\-]",
+    r"(?U)\bfiliation\s*[:\-]", r"(?U)\badresse\s*[:\-]", r"(?U)\bdomicile\s*[:\-]",
+    r"(?U)\bn0m\s*[:\-]", r"(?U)\bpren0m\s*[:\-]",
 ]
-FORM_FILIATION = r"(?iU)\bfiliation\s*[:\-]"
+FORM_FILIATION = r"(?U)\bfiliation\s*[:\-]"
 FORM_TITLE = "IDENTITÉ / ÉTAT CIVIL (détecté)"
 UNIT_TYPES = [
     ("pv_audition", ["audition", "entretien"]),
@@ -140,6 +142,12 @@ FACT_NARRATIVE = {
                            r"(?=\bfiliation\b|\badresse\b|\bprofession\b|$)",
 }
 
+# a word without which the narrative rule cannot match
+FACT_NARRATIVE_CUES = {
+    "adresse": "demeur|resida|domicilie|habite", "naissance": r"nee?\s", "nationalite": "nationalite",
+    "profession": "profession|emploi|occupation|activite", "situation_familiale": "familiale|matrimonial",
+}
+
 # --- entities (fixed values) ---
 PHONE = (
     r"(?U)(?:(?<=\s)|(?<=^)|(?<=\())"

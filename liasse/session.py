@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,5 +47,27 @@ def written_once(df_of, spark: SparkSession, name: str) -> DataFrame:
     """A derived table written once per application to the shared folder and read from there."""
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}"
     if not path_exists(spark, f"{path}/_SUCCESS"):
-        df_of().write.mode("overwrite").parquet(path)
+        spread(df_of()).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan with fewer parts than the session has cores, dealt out evenly.
+
+    Only small inputs (one file, one row group) are ever moved; a large scan
+    has parts enough and stays as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def staged(df: DataFrame, path: str | None = None) -> DataFrame:
+    """Write a table once to the shared folder and go on from the copy.
+
+    For results that several later steps read; a lost executor then costs a
+    re-read, not a recomputation.
+    """
+    spark = df.sparkSession
+    path = path or f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/staged-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)

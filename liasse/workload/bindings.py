@@ -7,7 +7,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from liasse.session import written_once
+from liasse.session import spread, written_once
 from liasse.workload import casefile
 
 
@@ -15,22 +15,27 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def text_table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    """A table of long texts, dealt out over the cores where it is one small file."""
+    return spread(table(spark, d, name))
+
+
 def documents(spark: SparkSession, d: str) -> DataFrame:
     """Every document as one chunk of one corpus."""
-    return table(spark, d, "documents").select(
+    return text_table(spark, d, "documents").select(
         F.lit("corpus").alias("case_id"), "source", F.col("doc_id").cast("int").alias("page"),
         F.col("doc_id").alias("chunk_ord"), "text", "lang")
 
 
 def document_pages(spark: SparkSession, d: str) -> DataFrame:
     """Every document as a page; a source is a document of the case."""
-    return table(spark, d, "documents").select(
+    return text_table(spark, d, "documents").select(
         F.col("lang").alias("case_id"), "source", F.col("doc_id").alias("page"), "text")
 
 
 def document_chunks(spark: SparkSession, d: str) -> DataFrame:
     """Documents per language as a case, sources as units."""
-    return table(spark, d, "documents").select(
+    return text_table(spark, d, "documents").select(
         F.col("lang").alias("case_id"), "source", F.col("doc_id").cast("int").alias("page"),
         F.col("doc_id").alias("chunk_ord"), "text", F.col("source").alias("unit_title"))
 

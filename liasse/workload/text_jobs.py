@@ -19,19 +19,19 @@ def text_clean(spark, d):
 
 
 def norm_tokens(spark, d):
-    t = b.table(spark, d, "documents").select(F.explode(T.tokens(F.col("text"))).alias("token"))
+    t = b.text_table(spark, d, "documents").select(F.explode(T.tokens(F.col("text"))).alias("token"))
     return t.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
 
 
 def sentence_stats(spark, d):
-    s = b.table(spark, d, "documents").withColumn("s", T.sentences(F.col("text")))
+    s = b.text_table(spark, d, "documents").withColumn("s", T.sentences(F.col("text")))
     return s.select("doc_id", F.size("s").alias("n_sentences"),
                     F.coalesce(F.array_max(F.transform("s", lambda x: F.length(x))), F.lit(0)).alias("longest"),
                     F.md5(F.array_join("s", "|")).alias("digest"))
 
 
 def sentences_wrapped(spark, d):
-    s = b.table(spark, d, "documents").withColumn("s", T.sentences_wrapped(F.col("text")))
+    s = b.text_table(spark, d, "documents").withColumn("s", T.sentences_wrapped(F.col("text")))
     return s.select("doc_id", F.posexplode("s").alias("i", "s")).select(
         "doc_id", "i", F.length("s").alias("n_chars"), F.md5("s").alias("digest"))
 
@@ -42,7 +42,7 @@ def chunk_pack(spark, d):
 
 
 def text_columns(spark, d):
-    t = b.table(spark, d, "documents")
+    t = b.text_table(spark, d, "documents")
     return t.select(
         "doc_id", F.md5(T.embed_prefix(F.col("text"), "passage")).alias("passage_digest"),
         T.approx_tokens(F.col("text")).alias("n_tokens"),
@@ -59,7 +59,7 @@ _ANSWER = """CASE turn % 4
 
 
 def answer_audit(spark, d):
-    t = b.table(spark, d, "conversations").withColumn("text", F.expr(_ANSWER.replace("\n'", "\\n'").replace("'\n", "'\\n")))
+    t = b.text_table(spark, d, "conversations").withColumn("text", F.expr(_ANSWER.replace("\n'", "\\n'").replace("'\n", "'\\n")))
     a = context.audit_answers(t)
     return a.select("conv_id", "turn", F.length("plain").alias("n_plain"), "cut_if_short", "cut_unless_short",
                     F.col("json.adresse_principale").alias("address"), F.md5("safe").alias("safe_digest"), "n_tokens")
