@@ -152,7 +152,7 @@ def pack_blocks(chunks: DataFrame, cap: int = rules.BLOCK_CHARS, segment: int =
             out.append((pdf["case_id"].iloc[0], seg, carried, blocks))
             upto = part["upto"].to_numpy()
             # the open block takes chunks while it stays within the cap
-            p = 0 if carried == 0 else int(np.searchsorted(upto, cap - carried, side="right")) - 1
+            p = 0 if carried == 0 else max(0, int(np.searchsorted(upto, cap - carried, side="right")) - 1)
             if p >= part["n"].iloc[0]:
                 carried += int(part["total"].iloc[0])
             else:

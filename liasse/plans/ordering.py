@@ -63,13 +63,13 @@ def capped_concat(
 ) -> DataFrame:
     """Join the texts of a key in order, up to ``cap`` characters.
 
-    Only rows that start below the cap are ever gathered, so a gathered
-    group holds at most ``cap`` characters plus one row.
+    Only rows that start below the cap (or whose separator does) are ever
+    gathered, so a gathered group holds about ``cap`` characters plus one row.
     """
     filled = df.filter(F.length(text) > 0)
     need = running_total(
         filled.select(*keys, *order, F.col(text).alias("_text"), block.alias("_b")),
-        keys, order, F.length("_text") + len(sep), F.col("_b"), "_at", below=cap,
+        keys, order, F.length("_text") + len(sep), F.col("_b"), "_at", below=cap + len(sep),
     )
     parts = F.array_sort(F.collect_list(F.struct(F.col("_at"), F.col("_text"))))
     joined = F.array_join(F.transform(parts, lambda p: p["_text"]), sep)
