@@ -89,7 +89,8 @@ def phrase_hits(chunks: DataFrame, queries: DataFrame, limit: int, small: bool |
 
 
 def _identity_queries(queries: DataFrame) -> DataFrame:
-    return classify_queries(queries).filter("is_identity").select("query_id", "case_id")
+    known = queries if "is_identity" in queries.columns else classify_queries(queries)
+    return known.filter("is_identity").select("query_id", "case_id")
 
 
 def identity_scores(chunks: DataFrame) -> DataFrame:

@@ -1,8 +1,10 @@
-"""Which texts contain which strings, for a small or a large set of strings.
+"""Which texts contain which strings, for a few, many or very many strings.
 
-A set checked to be small is packed per case and broadcast, so the texts are
-scanned once and only real hits leave the task. A larger set takes an
-equi-join on character grams (substrings) or words (names), then a check.
+A few strings per case are packed and tested text by text. More of them are
+found by an equi-join: substrings on their rarest character gram, names on a
+word, then a check of the full string. The strings are broadcast only when
+they are counted and found to be few enough; beyond that the join shuffles
+keys, not texts.
 """
 
 from __future__ import annotations
@@ -12,7 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SMALL_SET = 20_000
+FEW_PER_CASE = 64
+SMALL_SET = 100_000
 GRAM = 4
 
 
@@ -34,6 +37,27 @@ def _scan(texts: DataFrame, patterns: DataFrame, keys, keep, test) -> DataFrame:
     )
 
 
+def _few(patterns: DataFrame, keys: Sequence[str]) -> bool:
+    """At most a few strings in every case, and not many in all?"""
+    top = patterns.limit(SMALL_SET + 1).groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n"), F.sum("n")).first()
+    return (top[0] or 0) <= FEW_PER_CASE and (top[1] or 0) <= SMALL_SET
+
+
+def _grams(text: Column) -> Column:
+    """Distinct character grams; empty for texts shorter than one."""
+    spots = F.sequence(F.lit(1), F.greatest(F.length(text) - GRAM + 1, F.lit(1)))
+    every = F.array_distinct(F.transform(spots, lambda i: F.substring(text, i, F.lit(GRAM))))
+    return F.filter(every, lambda g: F.length(g) == GRAM)
+
+
+def _rarest_gram(patterns: DataFrame, keys: Sequence[str], pattern: str) -> DataFrame:
+    """Each distinct string of a case with the gram that the fewest strings of the case share."""
+    spread = patterns.select(*keys, pattern).distinct().select(*keys, pattern, F.explode(_grams(F.col(pattern))).alias("_gram"))
+    shared = spread.groupBy(*keys, "_gram").agg(F.count(F.lit(1)).alias("_n"))
+    return spread.join(shared, [*keys, "_gram"]).groupBy(*keys, pattern).agg(
+        F.min(F.struct("_n", "_gram"))["_gram"].alias("_gram"))
+
+
 def contains_join(
     texts: DataFrame,
     patterns: DataFrame,
@@ -46,36 +70,32 @@ def contains_join(
     """Rows of ``texts`` joined to the rows of ``patterns`` that occur in them.
 
     Both columns must already be folded the same way. ``row_key`` identifies
-    a row of ``texts``.
+    a row of ``texts``. ``small`` overrides the size check.
     """
     patterns = patterns.filter(F.length(pattern) > 0)
     keep = [c for c in patterns.columns if c not in keys]
     test = lambda p: F.col(text).contains(p[pattern])
+    if small is not False and _few(patterns, keys):
+        return _scan(texts, patterns, keys, keep, test)
     if small is None:
         small = is_small(patterns)
-    if small:
-        return _scan(texts, patterns, keys, keep, test)
-    # strings shorter than a gram: few distinct ones exist, so match those and join their rows
-    short = patterns.filter(F.length(pattern) < GRAM)
-    short_hits = _scan(texts.select(*row_key, *[k for k in keys if k not in row_key], text),
-                       short.select(*keys, pattern).distinct(), keys, [pattern], test)
-    short_ids = short_hits.drop(text).join(short, [*keys, pattern])
-    long = patterns.filter(F.length(pattern) >= GRAM).withColumn("_gram", F.left(pattern, F.lit(GRAM)))
-    grams = F.array_distinct(
-        F.transform(F.sequence(F.lit(1), F.length(text) - GRAM + 1),
-                    lambda i: F.substring(F.col(text), i, F.lit(GRAM)))
-    )
     ids = list(dict.fromkeys([*row_key, *keys]))
-    cand = (
-        texts.filter(F.length(text) >= GRAM)
-        .select(*ids, F.explode(grams).alias("_gram"))
-        .join(long, [*keys, "_gram"])
-        .select(*ids, *keep)
-    )
-    checked = cand.join(texts, ids).filter(F.col(text).contains(F.col(pattern)))
-    rest = short_ids.select(*ids, *keep).join(texts, ids)
     cols = [*texts.columns, *keep]
-    return checked.select(*cols).unionByName(rest.select(*cols))
+    long = patterns.join(_rarest_gram(patterns.filter(F.length(pattern) >= GRAM), keys, pattern), [*keys, pattern])
+    with_gram = F.explode(_grams(F.col(text))).alias("_gram")
+    # strings shorter than a gram: few distinct ones exist, so match those and join their rows
+    short = patterns.filter(F.length(pattern) < GRAM)
+    if small:
+        hits = texts.select("*", with_gram).join(F.broadcast(long), [*keys, "_gram"])
+        found = hits.filter(F.col(text).contains(F.col(pattern))).select(*cols)
+        if short.isEmpty():
+            return found
+    else:
+        cand = texts.select(*ids, with_gram).join(long, [*keys, "_gram"]).select(*ids, *keep)
+        found = cand.join(texts, ids).filter(F.col(text).contains(F.col(pattern))).select(*cols)
+    short_hits = _scan(texts.select(*ids, text), short.select(*keys, pattern).distinct(), keys, [pattern], test)
+    rest = short_hits.drop(text).join(short, [*keys, pattern]).select(*ids, *keep).join(texts, ids)
+    return found.unionByName(rest.select(*cols))
 
 
 def words(col: Column) -> Column:
@@ -117,15 +137,13 @@ def contained_ids(
 ) -> DataFrame:
     """Every row of ``texts`` with the ids of the patterns it contains, as an array."""
     patterns = patterns.filter(F.length(pattern) > 0)
-    if small is None:
-        small = is_small(patterns)
-    if small:
+    if small is not False and _few(patterns, keys):
         packed = F.broadcast(_pack(patterns, keys, [ident, pattern]))
         hits = F.filter("_pats", lambda p: F.col(text).contains(p[pattern]))
         ids = F.array_sort(F.array_distinct(F.transform(hits, lambda p: p[ident])))
         return texts.join(packed, list(keys), "left").withColumn(
             out, F.coalesce(ids, F.array().cast("array<bigint>"))).drop("_pats")
-    found = contains_join(texts, patterns, keys, text, pattern, row_key, small=False)
+    found = contains_join(texts, patterns, keys, text, pattern, row_key, small)
     ids = found.groupBy(*row_key).agg(F.array_sort(F.collect_set(ident)).alias(out))
     return texts.join(ids, list(row_key), "left").withColumn(
         out, F.coalesce(F.col(out), F.array().cast("array<bigint>")))
