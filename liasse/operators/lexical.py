@@ -41,10 +41,10 @@ def term_weights(stats: DataFrame) -> DataFrame:
     """Inverse frequencies; a negative one becomes a share of the mean over all terms of the case."""
     size = stats.filter("term = ''").select(
         "case_id", F.col("df").alias("n_chunks"), (F.col("n_tokens") / F.col("df")).alias("avg_len"))
-    raw = stats.filter("term <> ''").join(F.broadcast(size), "case_id").withColumn(
+    raw = stats.filter("term <> ''").join(size, "case_id").withColumn(
         "_raw", raw_idf(F.col("n_chunks"), F.col("df")))
     mean = raw.groupBy("case_id").agg(F.avg("_raw").alias("_mean"))
-    return raw.join(F.broadcast(mean), "case_id").select(
+    return raw.join(mean, "case_id").select(
         "case_id", "term", "df", "n_chunks", "avg_len",
         F.when(F.col("_raw") < 0, F.col("_mean") * rules.BM25_EPS).otherwise(F.col("_raw")).alias("idf"))
 
@@ -79,7 +79,7 @@ def bm25_scores(chunks: DataFrame, queries: DataFrame, weights: DataFrame | None
         weights = term_weights(term_stats(toks))
     used = terms.join(weights, ["case_id", "term"])
     vocabulary = terms.select("case_id", "term").distinct()
-    if is_small(queries):
+    if is_small(terms):
         used, vocabulary = F.broadcast(used), F.broadcast(vocabulary)
     tf, dl = F.col("tf"), F.col("doc_len")
     k1, b = rules.BM25_K1, rules.BM25_B

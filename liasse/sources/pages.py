@@ -15,7 +15,7 @@ def read_pages(spark: SparkSession, path: str, fmt: str = "parquet", case_id: st
     the folder above unless given. parquet, orc, json and csv hold the columns.
     """
     if fmt == "text":
-        raw = spark.read.option("wholetext", True).text(path).withColumn("_f", F.input_file_name())
+        raw = spark.read.text(path, wholetext=True).withColumn("_f", F.input_file_name())
         parts = F.split("_f", "/")
         return raw.select(
             (F.lit(case_id) if case_id else F.url_decode(F.element_at(parts, -2))).alias("case_id"),
