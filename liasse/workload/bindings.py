@@ -20,10 +20,15 @@ def text_table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spread(table(spark, d, name))
 
 
+def one_case(row: str):
+    """One case for all rows. Read off a column, so that joins on the case keep their key."""
+    return F.when(F.col(row).isNotNull(), "corpus").alias("case_id")
+
+
 def documents(spark: SparkSession, d: str) -> DataFrame:
     """Every document as one chunk of one corpus."""
     return text_table(spark, d, "documents").select(
-        F.lit("corpus").alias("case_id"), "source", F.col("doc_id").cast("int").alias("page"),
+        one_case("doc_id"), "source", F.col("doc_id").cast("int").alias("page"),
         F.col("doc_id").alias("chunk_ord"), "text", "lang")
 
 
@@ -43,7 +48,7 @@ def document_chunks(spark: SparkSession, d: str) -> DataFrame:
 def queries(spark: SparkSession, d: str) -> DataFrame:
     """The benchmark passages as queries."""
     return table(spark, d, "benchmark").select(
-        F.col("item_id").alias("query_id"), F.lit("corpus").alias("case_id"), "text")
+        F.col("item_id").alias("query_id"), one_case("item_id"), "text")
 
 
 def _sql(spark: SparkSession, d: str, sql: str) -> DataFrame:
@@ -75,7 +80,7 @@ def persons(spark: SparkSession, d: str) -> DataFrame:
 def vectors(spark: SparkSession, d: str) -> DataFrame:
     """Stored vectors; the label plays the source."""
     return table(spark, d, "embeddings").select(
-        F.lit("corpus").alias("case_id"), F.col("vec_id").alias("chunk_ord"), "embedding",
+        one_case("vec_id"), F.col("vec_id").alias("chunk_ord"), "embedding",
         F.concat(F.lit("label"), F.col("label").cast("string")).alias("source"))
 
 
@@ -85,5 +90,5 @@ def query_vectors(spark: SparkSession, d: str) -> DataFrame:
         table(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("i", "x"))
         .groupBy("label", "i").agg(F.round(F.avg(F.col("x").cast("double")), 6).alias("x"))
         .groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("embedding"))
-        .select(F.col("label").cast("bigint").alias("query_id"), F.lit("corpus").alias("case_id"), "embedding")
+        .select(F.col("label").cast("bigint").alias("query_id"), one_case("label"), "embedding")
     )

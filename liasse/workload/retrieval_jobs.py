@@ -16,7 +16,7 @@ def phrased(spark, d):
     items = b.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
     words = F.array_join(F.slice(F.split(F.regexp_replace("text", r"[\s\"']+", " "), " "), 1, 4), " ")
     return items.join(docs, "query_id").select(
-        "query_id", F.lit("corpus").alias("case_id"),
+        "query_id", b.one_case("query_id"),
         F.concat(F.lit("liste "), "source", F.lit(' : "'), words, F.lit('" '), "passage").alias("text"))
 
 
