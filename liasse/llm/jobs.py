@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from liasse.llm import minhash
+from liasse.llm import bpe, decontam, minhash
+
+VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
 def _documents(spark: SparkSession, d: str) -> DataFrame:
@@ -15,5 +18,15 @@ def op3_minhash(spark: SparkSession, d: str) -> DataFrame:
     return minhash.near_duplicates(_documents(spark, d)).drop("text_key")
 
 
-QUERIES = {"op3_minhash": op3_minhash}
+def op5_bpe(spark: SparkSession, d: str) -> DataFrame:
+    vocabulary = bpe.read_vocabulary(public_tokenizers.path(VOCABULARY))
+    ids = bpe.encode(_documents(spark, d).select("doc_id", "text"), vocabulary, public_tokenizers.PATTERN)
+    return bpe.digests(bpe.decode(ids, vocabulary))
+
+
+def op6_decontamination(spark: SparkSession, d: str) -> DataFrame:
+    return decontam.report(_documents(spark, d), spark.read.parquet(f"{d}/benchmark.parquet"))
+
+
+QUERIES = {"op3_minhash": op3_minhash, "op5_bpe": op5_bpe, "op6_decontamination": op6_decontamination}
 ORACLE: dict[str, str] = {}
