@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import base64
 import functools
-from array import array
 from collections.abc import Iterator
 from itertools import islice
 
@@ -32,9 +31,10 @@ from pyspark.sql import functions as F
 MAX_VOCABULARY = 64 << 20
 LONG_TEXT = 1 << 20
 CACHED_PIECE = 64
-CACHED_PIECES = 400_000
+CACHED_PIECES = 800_000
 _NONE = (1 << 62) - 1
 _SHIFT = 36
+_PLACE = (1 << _SHIFT) - 1
 
 
 def read_vocabulary(path: str) -> bytes:
@@ -56,40 +56,38 @@ def merge(piece: bytes, ranks: dict[bytes, int], longest: int) -> list[int]:
         return [ranks[piece]]
     n = len(piece)
     width = 1 << (n - 1).bit_length()
-    after = array("q", range(1, n + 1))
-    before = array("q", range(-1, n - 1))
-    tree = array("q", [_NONE]) * (2 * width)
-
-    def pair(i: int) -> int:
-        j = after[i]
-        end = after[j] if j < n else 0
-        rank = ranks.get(piece[i:end]) if j < n and end - i <= longest else None
-        return _NONE if rank is None else (rank << _SHIFT) | i
-
-    def put(i: int, value: int) -> None:
-        at = i + width
-        tree[at] = value
-        while at > 1:
-            low = tree[at] if tree[at] < tree[at ^ 1] else tree[at ^ 1]
-            at >>= 1
-            if tree[at] == low:
-                return
-            tree[at] = low
-
+    after, before, get = list(range(1, n + 2)), list(range(-1, n)), ranks.get
+    tree = [_NONE] * (2 * width)
     for i in range(n - 1):
-        tree[width + i] = pair(i)
+        rank = get(piece[i : i + 2])
+        if rank is not None:
+            tree[width + i] = (rank << _SHIFT) | i
     for at in range(width - 1, 0, -1):
-        tree[at] = min(tree[2 * at], tree[2 * at + 1])
-    while tree[1] != _NONE:
-        i = tree[1] & ((1 << _SHIFT) - 1)
+        left, right = tree[2 * at], tree[2 * at + 1]
+        tree[at] = left if left < right else right
+    while (top := tree[1]) != _NONE:
+        i = top & _PLACE
         gone = after[i]
-        after[i] = after[gone]
-        if after[i] < n:
-            before[after[i]] = i
-        put(gone, _NONE)
-        put(i, pair(i))
-        if before[i] >= 0:
-            put(before[i], pair(before[i]))
+        end = after[i] = after[gone]
+        before[end] = i
+        changed = [(gone, _NONE)]
+        for j in (i, before[i]):  # the pairs that the new symbol begins and ends
+            if j >= 0:
+                mid = after[j]
+                stop = after[mid] if mid < n else 0
+                rank = get(piece[j:stop]) if 0 < stop <= j + longest else None
+                changed.append((j, _NONE if rank is None else (rank << _SHIFT) | j))
+        for j, low in changed:
+            at = j + width
+            tree[at] = low
+            while at > 1:
+                other = tree[at ^ 1]
+                if other < low:
+                    low = other
+                at >>= 1
+                if tree[at] == low:
+                    break
+                tree[at] = low
     out, i = [], 0
     while i < n:
         out.append(ranks[piece[i : after[i]]])
@@ -102,7 +100,8 @@ class Encoder(dict):
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         super().__init__()
-        self.ranks, self.pattern = ranks, regex.compile(pattern)
+        # rank files mean Unicode white space, regex's own \\s has four control characters more
+        self.ranks, self.pattern = ranks, regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
         self.longest = max(map(len, ranks), default=1)
 
     def __missing__(self, piece: str) -> bytes:
@@ -132,9 +131,15 @@ class Decoder:
                         for i in range(0, every.size, LONG_TEXT))
 
 
-@functools.lru_cache(maxsize=2)
-def _ranks(raw: bytes) -> dict[bytes, int]:
-    return parse_vocabulary(raw)
+@functools.lru_cache(maxsize=1)
+def _encoder(raw: bytes, pattern: str) -> Encoder:
+    """Kept by a worker process from task to task."""
+    return Encoder(parse_vocabulary(raw), pattern)
+
+
+@functools.lru_cache(maxsize=1)
+def _decoder(raw: bytes) -> Decoder:
+    return Decoder(parse_vocabulary(raw))
 
 
 def _added(df: DataFrame, source: str, target: str, worker) -> DataFrame:
@@ -157,7 +162,7 @@ def encode(df: DataFrame, vocabulary: bytes, pattern: str, text: str = "text", i
     sent = df.sparkSession.sparkContext.broadcast(vocabulary)
 
     def worker():
-        coder = Encoder(_ranks(sent.value), pattern)
+        coder = _encoder(sent.value, pattern)
         return lambda t: coder.pack(t or "")
 
     return _added(df, text, ids, worker)
@@ -168,7 +173,7 @@ def decode(df: DataFrame, vocabulary: bytes, ids: str = "ids", out: str = "decod
     sent = df.sparkSession.sparkContext.broadcast(vocabulary)
 
     def worker():
-        coder = Decoder(_ranks(sent.value))
+        coder = _decoder(sent.value)
         return lambda b: coder.unpack(b or b"")
 
     return _added(df.withColumn("_ids", F.col(ids)), "_ids", out, worker)

@@ -46,12 +46,10 @@ def fingerprints(words: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray
     """SimHash of the windows of ``size`` words at ``starts``, by running sums of each bit over the span they cover."""
     low = int(starts[0])
     span = words[low : int(starts[-1]) + size]
-    out = np.zeros(starts.size, np.uint64)
-    for bit in _BITS:
-        ones = np.concatenate([[0], np.cumsum((span >> bit) & np.uint64(1), dtype=np.int64)])
-        count = ones[starts - low + size] - ones[starts - low]
-        out |= (2 * count > size).astype(np.uint64) << bit
-    return out
+    ones = np.zeros((span.size + 1, 64), np.int32)
+    np.cumsum((span[:, None] >> _BITS) & np.uint64(1), axis=0, out=ones[1:], dtype=np.int32)
+    count = ones[starts - low + size] - ones[starts - low]
+    return ((2 * count > size).astype(np.uint64) << _BITS).sum(axis=1, dtype=np.uint64)
 
 
 def blocks_of(prints: np.ndarray, radius: int = RADIUS) -> list[np.ndarray]:
@@ -101,35 +99,49 @@ class Benchmark:
             by_size.setdefault(words.size, []).append((item, words))
         self.similarity = similarity
         self.groups = [Items(n, [i for i, _ in own], [w for _, w in own], radius) for n, own in sorted(by_size.items())]
-        width = lambda g: min(sh.SIZE, g.size)
-        self.known = {w: np.unique(np.concatenate([k for g in self.groups if width(g) == w for k, _ in g.weights]))
-                      for w in {width(g) for g in self.groups}}
+        self.known = {}  # shingle width: the shingles, sorted, with the groups of items that have them
+        for width in {min(sh.SIZE, g.size) for g in self.groups}:
+            own = [(k, n) for n, g in enumerate(self.groups) if min(sh.SIZE, g.size) == width for k in {k for w, _ in g.weights for k in w.tolist()}]
+            own.sort()
+            self.known[width] = np.array([k for k, _ in own], np.uint64), np.array([n for _, n in own], np.int64)
 
     def matches(self, words: np.ndarray) -> dict[int, float]:
         """Item id to the best similarity of a window, where it reaches the limit."""
         found: dict[int, float] = {}
-        running = {}
-        for width, known in self.known.items():
+        for width, (known, group_of) in self.known.items():
             own = sh.rolled(words, width)
-            at = np.minimum(np.searchsorted(known, own), known.size - 1)
-            hit = known[at] == own
-            if hit.any():
-                running[width] = (own, np.concatenate([[0], np.cumsum(hit)]))
-        for group in self.groups:
-            width = min(sh.SIZE, group.size)
-            if words.size < group.size or width not in running:
+            left = np.searchsorted(known, own)
+            hits = np.flatnonzero(known[np.minimum(left, known.size - 1)] == own)
+            if not hits.size:
                 continue
-            own, sums = running[width]
-            many = group.size - width + 1
-            enough = np.flatnonzero(sums[many:] - sums[:-many] >= self.similarity * many - 1e-9)
-            for i in range(0, enough.size, WINDOWS_AT_ONCE):
-                starts = enough[i : i + WINDOWS_AT_ONCE]
-                for window, item in group.near(fingerprints(words, starts, group.size)):
-                    start = int(starts[window])
+            left = left[hits]
+            n = np.searchsorted(known, own[hits], "right") - left
+            place = np.repeat(hits, n)
+            which = group_of[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(left, n)]
+            for g in np.unique(which):
+                self._verify(self.groups[g], words, own, place[which == g], found)
+        return found
+
+    def _verify(self, group: Items, words: np.ndarray, own: np.ndarray, hits: np.ndarray, found: dict[int, float]) -> None:
+        """Looks up the windows of one size with enough shingles of the items of that size."""
+        many = group.size - min(sh.SIZE, group.size) + 1
+        need = int(np.ceil(self.similarity * many - 1e-9))
+        if hits.size < need or words.size < group.size:
+            return
+        last = hits[need - 1 :]  # a window must reach from at most the first of `need` hits to the last of them
+        lows, highs = np.maximum(last - many + 1, 0), np.minimum(hits[: last.size], words.size - group.size)
+        spans = [np.arange(a, b + 1) for a, b in zip(lows, highs, strict=True) if a <= b]
+        if not spans:
+            return
+        every = np.unique(np.concatenate(spans))
+        for i in range(0, every.size, WINDOWS_AT_ONCE):
+            starts = every[i : i + WINDOWS_AT_ONCE]
+            for part in np.split(starts, np.flatnonzero(np.diff(starts) > group.size) + 1):
+                for window, item in group.near(fingerprints(words, part, group.size)):
+                    start = int(part[window])
                     best = weighted_jaccard(sh.weighted(own[start : start + many]), group.weights[item])
                     if best >= self.similarity and best > found.get(group.ids[item], 0.0):
                         found[group.ids[item]] = best
-        return found
 
 
 def _item_blocks(benchmark: DataFrame, item: str, text: str) -> Iterator[list[tuple[int, np.ndarray]]]:
