@@ -31,7 +31,8 @@ from pyspark.sql import functions as F
 MAX_VOCABULARY = 64 << 20
 LONG_TEXT = 1 << 20
 CACHED_PIECE = 64
-CACHED_PIECES = 800_000
+CACHED_PIECES = 400_000
+ROWS_OUT = 256
 _NONE = (1 << 62) - 1
 _SHIFT = 36
 _PLACE = (1 << _SHIFT) - 1
@@ -142,18 +143,23 @@ def _decoder(raw: bytes) -> Decoder:
     return Decoder(parse_vocabulary(raw))
 
 
-def _added(df: DataFrame, source: str, target: str, worker) -> DataFrame:
-    """``df`` with a binary column made by ``worker() -> (value -> bytes)``; the source column goes."""
+def _mapped(df: DataFrame, source: str, targets: list[str], worker) -> DataFrame:
+    """``df`` with binary columns from ``worker() -> (value -> values)`` in place of the source column.
+
+    Rows go out in groups of ``ROWS_OUT``, so that a task holds the results of few texts.
+    """
+    kept = [f for f in df.schema.fields if f.name != source]
+    rest = [f.name for f in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = worker()
         for batch in batches:
-            made = pa.array([one(v.as_py()) for v in batch.column(source)], pa.binary())
-            rest = [c for c in batch.schema.names if c != source]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), made], [*rest, target])
+            for i in range(0, batch.num_rows, ROWS_OUT):
+                part = batch.slice(i, ROWS_OUT)
+                made = list(zip(*(one(v.as_py()) for v in part.column(source)), strict=True))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in rest), *(pa.array(m, pa.binary()) for m in made)], [*rest, *targets])
 
-    kept = [f for f in df.schema.fields if f.name != source]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [f"`{target}` binary"])
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [f"`{t}` binary" for t in targets])
     return df.mapInArrow(run, schema)
 
 
@@ -163,9 +169,9 @@ def encode(df: DataFrame, vocabulary: bytes, pattern: str, text: str = "text", i
 
     def worker():
         coder = _encoder(sent.value, pattern)
-        return lambda t: coder.pack(t or "")
+        return lambda t: (coder.pack(t or ""),)
 
-    return _added(df, text, ids, worker)
+    return _mapped(df, text, [ids], worker)
 
 
 def decode(df: DataFrame, vocabulary: bytes, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -174,9 +180,25 @@ def decode(df: DataFrame, vocabulary: bytes, ids: str = "ids", out: str = "decod
 
     def worker():
         coder = _decoder(sent.value)
-        return lambda b: coder.unpack(b or b"")
+        return lambda b: (coder.unpack(b or b""),)
+
+    return _mapped(df.withColumn("_ids", F.col(ids)), "_ids", [out], worker)
+
+
+def round_trip(df: DataFrame, vocabulary: bytes, pattern: str, text: str = "text", ids: str = "ids", out: str = "decoded") -> DataFrame:
+    """The text column replaced by its packed ids and by what they decode to, in one pass."""
+    sent = df.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def worker():
+        coder, back = _encoder(sent.value, pattern), _decoder(sent.value)
+
+        def both(t):
+            packed = coder.pack(t or "")
+            return packed, back.unpack(packed)
+
+        return both
 
-    return _added(df.withColumn("_ids", F.col(ids)), "_ids", out, worker)
+    return _mapped(df, text, [ids, out], worker)
 
 
 def digests(df: DataFrame, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
