@@ -5,28 +5,47 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from liasse.llm import bpe, decontam, minhash
+from liasse.llm import bpe, decontam, minhash, quality, rules, secrets, sharding, toxicity
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
-def _documents(spark: SparkSession, d: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/documents.parquet")
+def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def op1_secrets(spark: SparkSession, d: str) -> DataFrame:
+    return secrets.report(_table(spark, d, "documents"))
 
 
 def op3_minhash(spark: SparkSession, d: str) -> DataFrame:
-    return minhash.near_duplicates(_documents(spark, d)).drop("text_key")
+    return minhash.near_duplicates(_table(spark, d, "documents")).drop("text_key")
+
+
+def op4_quality(spark: SparkSession, d: str) -> DataFrame:
+    return quality.classified(_table(spark, d, "documents"), _table(spark, d, "labels"))
 
 
 def op5_bpe(spark: SparkSession, d: str) -> DataFrame:
     vocabulary = bpe.read_vocabulary(public_tokenizers.path(VOCABULARY))
-    ids = bpe.encode(_documents(spark, d).select("doc_id", "text"), vocabulary, public_tokenizers.PATTERN)
-    return bpe.digests(bpe.decode(ids, vocabulary))
+    return bpe.digests(bpe.round_trip(_table(spark, d, "documents").select("doc_id", "text"), vocabulary, public_tokenizers.PATTERN))
 
 
 def op6_decontamination(spark: SparkSession, d: str) -> DataFrame:
-    return decontam.report(_documents(spark, d), spark.read.parquet(f"{d}/benchmark.parquet"))
+    return decontam.report(_table(spark, d, "documents"), _table(spark, d, "benchmark"))
+
+
+def op7_rules(spark: SparkSession, d: str) -> DataFrame:
+    return rules.report(_table(spark, d, "documents"))
+
+
+def op8_sharding(spark: SparkSession, d: str) -> DataFrame:
+    return sharding.report(_table(spark, d, "documents"))
+
+
+def op10_toxicity(spark: SparkSession, d: str) -> DataFrame:
+    return toxicity.classified(_table(spark, d, "documents"), _table(spark, d, "labels"))
 
 
-QUERIES = {"op3_minhash": op3_minhash, "op5_bpe": op5_bpe, "op6_decontamination": op6_decontamination}
+QUERIES = {f.__name__: f for f in (op1_secrets, op3_minhash, op4_quality, op5_bpe, op6_decontamination, op7_rules, op8_sharding, op10_toxicity)}
 ORACLE: dict[str, str] = {}

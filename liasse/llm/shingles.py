@@ -33,9 +33,12 @@ def mix(x: np.ndarray) -> np.ndarray:
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _STEP)
 
 
-def _hash_piece(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and start of each word of some bytes that end with a space."""
-    inside = data != 32
+_BREAK = np.arange(256) == 32
+
+
+def _hash_piece(data: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and start of each run of bytes that aren't breaks."""
+    inside = ~breaks[data]
     starts = np.flatnonzero(inside & ~np.concatenate([[False], inside[:-1]]))
     if not starts.size:
         return np.empty(0, np.uint64), starts
@@ -46,28 +49,45 @@ def _hash_piece(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return mix(np.add.reduceat(worth, starts - lead)), starts
 
 
-def hashed_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes of a column of ``plain_words``, and where each row's words begin (one entry more than rows).
-
-    The bytes are gone through in pieces that end at a space, so that beside
-    the column itself only the hashes grow with a very long text.
-    """
+def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a column of strings, and where each row begins (one entry more than rows)."""
     kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
     ends = np.frombuffer(column.buffers()[1], kind)[column.offset : column.offset + len(column) + 1].astype(np.int64)
-    data = np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]]
-    hashes, starts, at = [], [], 0
+    data = np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]] if ends[-1] > ends[0] else np.empty(0, np.uint8)
+    return data, ends - ends[0]
+
+
+def segments(column: pa.Array, breaks: np.ndarray = _BREAK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes and starts of all runs without break bytes, and where each row's runs begin.
+
+    Every row must end with a break. The bytes are gone through in pieces that
+    end at a break, so that beside the column itself only the hashes grow with
+    a very long text.
+    """
+    data, ends = bytes_of(column)
+    hashes, starts, at = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], 0
     while at < data.size:
         stop = min(at + PIECE, data.size)
-        while stop < data.size and data[stop - 1] != 32:
-            near = np.flatnonzero(data[stop : stop + PIECE] == 32)
+        while stop < data.size and not breaks[data[stop - 1]]:
+            near = np.flatnonzero(breaks[data[stop : stop + PIECE]])
             stop = stop + int(near[0]) + 1 if near.size else min(stop + PIECE, data.size)
-        h, s = _hash_piece(data[at:stop])
+        h, s = _hash_piece(data[at:stop], breaks)
         hashes.append(h)
         starts.append(s + at)
         at = stop
-    if not hashes:
-        return np.empty(0, np.uint64), np.zeros(len(column) + 1, np.int64)
-    return np.concatenate(hashes), np.searchsorted(np.concatenate(starts), ends - ends[0])
+    places = np.concatenate(starts)
+    return np.concatenate(hashes), places, np.searchsorted(places, ends)
+
+
+def counted(data: np.ndarray, ends: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """How many bytes of each row are in the table; no row may be empty."""
+    return np.add.reduceat(table[data], ends[:-1], dtype=np.int64) if data.size else np.zeros(ends.size - 1, np.int64)
+
+
+def hashed_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes of a column of ``plain_words``, and where each row's words begin (one entry more than rows)."""
+    hashes, _, bounds = segments(column)
+    return hashes, bounds
 
 
 def rolled(words: np.ndarray, size: int = SIZE) -> np.ndarray:
