@@ -201,7 +201,7 @@ def round_trip(df: DataFrame, vocabulary: bytes, pattern: str, text: str = "text
     return _mapped(df, text, [ids, out], worker)
 
 
-def digests(df: DataFrame, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
-    """doc_id, token count and SHA-256 of the packed ids and of the decoded bytes."""
-    return df.select("doc_id", (F.octet_length(ids) / 4).cast("long").alias("n_tokens"),
-                     F.sha2(F.col(ids), 256).alias("ids_sha256"), F.sha2(F.col(decoded), 256).alias("decoded_sha256"))
+def digests(df: DataFrame, ids: str = "ids", decoded: str = "decoded", keep: list[str] | None = None) -> DataFrame:
+    """doc_id, token count and SHA-256 of the packed ids and of the decoded bytes, and the columns ``keep``."""
+    return df.select("doc_id", (F.octet_length(ids) / 4).cast("long").alias("n_tokens"), F.sha2(F.col(ids), 256).alias("ids_sha256"),
+                     F.sha2(F.col(decoded), 256).alias("decoded_sha256"), *(keep or []))

@@ -32,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from liasse.llm import shingles as sh
 
@@ -161,42 +162,43 @@ def _item_blocks(benchmark: DataFrame, item: str, text: str) -> Iterator[list[tu
 
 def passages(docs: DataFrame, benchmark: DataFrame, keep: list[str], text: str = "text", item: str = "item_id",
              item_text: str = "text", radius: int = RADIUS, similarity: float = SIMILARITY) -> DataFrame:
-    """The columns ``keep`` of ``docs``, and ``_items``: array of (item_id, similarity) of the items found in the text."""
+    """``row``: the columns ``keep`` of ``docs``; ``items``: array of (item_id, similarity) of the items found in the text."""
     kind = "array<struct<item_id:bigint,similarity:double>>"
     shape = pa.list_(pa.struct([("item_id", pa.int64()), ("similarity", pa.float64())]))
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    out = docs.withColumn("_items", F.array().cast(kind))
+    pair = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("similarity", T.DoubleType())]))
+    out = docs.select(F.struct(*docs.columns).alias("row"), F.array().cast(kind).alias("items"))
     blocks = _item_blocks(benchmark, item, item_text)
     rows = next(blocks, None)
     while rows:
         sent, rows = docs.sparkSession.sparkContext.broadcast(rows), next(blocks, None)
-        names = list(keep) if rows is None or text in keep else [*keep, text]  # a later pass reads the text again
+        if rows is None and text not in keep:  # only an earlier pass needs the text again
+            out = out.select(F.struct(*[F.col(f"row.`{c}`") for c in keep]).alias("row"), "items", F.col(f"row.`{text}`").alias("text"))
+        else:
+            out = out.select("row", "items", F.col(f"row.`{text}`").alias("text"))
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent, names=names) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             bench = Benchmark(sent.value, radius, similarity)
             for batch in batches:
-                words, bounds = sh.hashed_words(batch.column("_words"))
+                words, bounds = sh.hashed_words(batch.column("words"))
                 made = [[{"item_id": i, "similarity": s} for i, s in bench.matches(words[a:b]).items()]
                         for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), batch.column("_items"), pa.array(made, shape)],
-                                                 [*names, "_items", "_more"])
+                yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("items"), pa.array(made, shape)], ["row", "items", "more"])
 
-        schema = ", ".join(f"`{c}` {kinds[c]}" for c in names)
-        out = (out.withColumn("_words", sh.plain_words(F.col(text))).select(*names, "_items", "_words")
-               .mapInArrow(run, f"{schema}, _items {kind}, _more {kind}")
-               .withColumn("_items", F.array_sort(F.concat("_items", "_more"))).drop("_more"))
-    return out.select(*keep, "_items")
+        given = out.select("row", "items", sh.plain_words(F.col("text")).alias("words"))
+        out = given.mapInArrow(run, T.StructType([given.schema["row"], given.schema["items"], T.StructField("more", pair)])).select(
+            "row", F.array_sort(F.concat("items", "more")).alias("items"))
+    return out.select(F.struct(*[F.col(f"row.`{c}`") for c in keep]).alias("row"), "items")
 
 
 def report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """doc_id, contaminated, n_items, item_ids and best similarity of every document."""
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = passages(narrow, benchmark, ["doc_id"], **options)
-    ids = F.array_sort(F.array_distinct(F.transform("_items", lambda x: x["item_id"])))
-    return found.select("doc_id", (F.size("_items") > 0).alias("contaminated"), F.size(ids).cast("long").alias("n_items"),
-                        ids.alias("item_ids"), F.array_max(F.transform("_items", lambda x: x["similarity"])).alias("similarity"))
+    ids = F.array_sort(F.array_distinct(F.transform("items", lambda x: x["item_id"])))
+    return found.select("row.doc_id", (F.size("items") > 0).alias("contaminated"), F.size(ids).cast("long").alias("n_items"),
+                        ids.alias("item_ids"), F.array_max(F.transform("items", lambda x: x["similarity"])).alias("similarity"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents that hold no passage of the benchmark."""
-    return passages(docs, benchmark, docs.columns, **options).filter(F.size("_items") == 0).drop("_items")
+    return passages(docs, benchmark, docs.columns, **options).filter(F.size("items") == 0).select("row.*")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from liasse.llm import bpe, decontam, minhash, quality, rules, secrets, sharding, toxicity
+from liasse.llm import bpe, decontam, html, licenses, minhash, quality, rules, secrets, sharding, toxicity
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -18,6 +18,10 @@ def op1_secrets(spark: SparkSession, d: str) -> DataFrame:
     return secrets.report(_table(spark, d, "documents"))
 
 
+def op2_licenses(spark: SparkSession, d: str) -> DataFrame:
+    return licenses.report(_table(spark, d, "documents"))
+
+
 def op3_minhash(spark: SparkSession, d: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, d, "documents")).drop("text_key")
 
@@ -43,9 +47,14 @@ def op8_sharding(spark: SparkSession, d: str) -> DataFrame:
     return sharding.report(_table(spark, d, "documents"))
 
 
+def op9_html(spark: SparkSession, d: str) -> DataFrame:
+    return html.report(_table(spark, d, "pages"))
+
+
 def op10_toxicity(spark: SparkSession, d: str) -> DataFrame:
     return toxicity.classified(_table(spark, d, "documents"), _table(spark, d, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op3_minhash, op4_quality, op5_bpe, op6_decontamination, op7_rules, op8_sharding, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_licenses, op3_minhash, op4_quality, op5_bpe, op6_decontamination, op7_rules,
+                                   op8_sharding, op9_html, op10_toxicity)}
 ORACLE: dict[str, str] = {}

@@ -221,13 +221,12 @@ def near_duplicates(docs: DataFrame, text: str = "text", bands: int = BANDS, row
 
 def keep_one(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     """``docs`` with one row of each near-duplicate group: that of the smallest doc_id."""
-    cols = docs.columns
     found = near_duplicates(docs, text, **options)
     first = found.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("class_id", "doc_id").agg(
-        F.min("text_key").alias("_key"), F.count(F.lit(1)).alias("_n"))
-    chosen = staged(first.select(F.col("doc_id").alias("_id"), "_key", "_n"))
-    marked = docs.withColumn("_at", text_key(F.col(text)))
-    kept = marked.join(chosen, (F.col("_at") == F.col("_key")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id")))
-    once = kept.filter("_n = 1").select(*cols)
-    again = kept.filter("_n > 1").dropDuplicates(["_id", "_key"]).select(*cols)
-    return once.unionByName(again)
+        F.min("text_key").alias("key"), F.count(F.lit(1)).alias("n"))
+    chosen = staged(first.select(F.col("doc_id").alias("id"), "key", "n"))
+    # the rows travel whole, so that no column of theirs can clash
+    rows = docs.select(F.struct(*docs.columns).alias("row"), text_key(F.col(text)).alias("at"), F.col("doc_id").cast("long").alias("of"))
+    kept = rows.join(chosen, (F.col("at") == F.col("key")) & F.col("of").eqNullSafe(F.col("id")))
+    again = kept.filter("n > 1").dropDuplicates(["id", "key"])
+    return kept.filter("n = 1").select("row").unionByName(again.select("row")).select("row.*")

@@ -30,8 +30,9 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from liasse.llm.toxicity import held_out, labelled_sample, sigmoid
+from liasse.llm.toxicity import held_out, labelled_sample, prior_shift, sigmoid
 
 BLOCK = 512
 DICTIONARY = 1 << 16
@@ -102,30 +103,32 @@ def fit(texts: list[str], good: np.ndarray) -> Model:
 
 def train(docs: DataFrame, labels: DataFrame, most_bad: int = MOST_BAD, most_good: int = MOST_GOOD) -> Model:
     sample = labelled_sample(docs, labels, "quality", {0: most_bad, 1: most_good})
-    rows = sorted(sample.dropDuplicates(["_id"]).select(F.xxhash64("_id").alias("h"), "text", "label").collect())
-    return fit([r["text"] for r in rows], np.array([r["label"] for r in rows], np.float64))
+    rows = sorted(sample.select(F.xxhash64("id").alias("h"), "text", "label").collect())
+    good = np.array([r["label"] for r in rows], np.float64)
+    model = fit([r["text"] for r in rows], good)
+    model.bias += prior_shift(labels, "quality", good)
+    return model
 
 
-def scored(df: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
-    """``df`` with the probability of being good in the column ``out``."""
+def scored(df: DataFrame, model: Model, keep: list[str], text: str = "text", out: str = "score") -> DataFrame:
+    """The columns ``keep`` of ``df``, and the probability of being good in the column ``out``."""
     sent = df.sparkSession.sparkContext.broadcast(model)
-    names = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         measure = Measure(model.good, model.bad) if model.slope else (lambda t: 0.0)
         for batch in batches:
-            x = np.array([measure(t.as_py() or "") for t in batch.column(text)])
+            x = np.array([measure(t.as_py() or "") for t in batch.column("_text")])
             made = pa.array(sigmoid(model.bias + model.slope * x), pa.float64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), made], [*names, out])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), made], [*keep, out])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return df.mapInArrow(run, f"{schema}, `{out}` double")
+    schema = T.StructType([*(df.schema[c] for c in keep), T.StructField(out, T.DoubleType())])
+    return df.select(*keep, F.col(text).alias("_text")).mapInArrow(run, schema)
 
 
 def classified(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = scored(narrow, train(docs, labels, **options)).drop("text")
+    found = scored(narrow, train(docs, labels, **options), ["doc_id"])
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
                         (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

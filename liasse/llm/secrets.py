@@ -151,10 +151,9 @@ def report(docs: DataFrame, **options) -> DataFrame:
 
 def redacted(docs: DataFrame, text: str = "text", mark: str = "[secret]", **options) -> DataFrame:
     """``docs`` with every span replaced by the mark; null texts stay null."""
-    cols = docs.columns
-    got = found(docs, text, **options)
-    t = F.col(text)
+    got = found(docs.select(F.struct(*docs.columns).alias("row"), F.col(text).alias("text")), "text", **options)
+    t = F.col("text")
     kept = F.aggregate(_joined(F.col("_spans")), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), lambda s, x: F.struct(
         x["stop"].alias("at"), F.concat(s["out"], F.substring(t, s["at"] + 1, x["start"] - s["at"]), F.lit(mark)).alias("out")),
         lambda s: F.concat(s["out"], F.substring(t, s["at"] + 1, F.length(t))))
-    return got.withColumn(text, F.when(F.size("_spans") > 0, kept).otherwise(t)).select(*cols)
+    return got.select(*[F.when(F.size("_spans") > 0, kept).otherwise(t).alias(c) if c == text else F.col(f"row.`{c}`") for c in docs.columns])

@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from liasse.llm import shingles as sh
 
@@ -122,47 +123,64 @@ def fit(texts: list[str], toxic: np.ndarray, rounds: int = 300, rate: float = 0.
     return Model(float(b), kept, w * ratio[kept] * scale)
 
 
+def training_labels(labels: DataFrame, label: str) -> DataFrame:
+    """(id, label) of the rows to learn from, each id once."""
+    ids = labels.select(F.col("doc_id").cast("long").alias("id"), F.col(label).cast("int").alias("label"))
+    return ids.filter(F.col("id").isNotNull() & F.col("label").isin(0, 1) & ~held_out(F.col("id"))).groupBy("id").agg(F.max("label").alias("label"))
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: dict[int, int], longest: int = LONGEST) -> DataFrame:
-    """(text, label): a bounded sample of the labelled training rows, by the hash of their ids."""
-    ids = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col(label).cast("int").alias("_label")).filter(
-        F.col("_id").isNotNull() & F.col("_label").isin(list(most)) & ~held_out(F.col("_id")))
-    once = ids.groupBy("_id").agg(F.max("_label").alias("_label"))
-    parts = [once.filter(F.col("_label") == k).orderBy(F.xxhash64("_id"), "_id").limit(n) for k, n in sorted(most.items())]
+    """(id, text, label): a bounded sample of the labelled training rows, by the hash of their ids."""
+    once = training_labels(labels, label)
+    parts = [once.filter(F.col("label") == k).orderBy(F.xxhash64("id"), "id").limit(n) for k, n in sorted(most.items())]
     chosen = parts[0].union(parts[1])
-    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").alias("_text")).filter(F.octet_length("_text") <= longest)
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").filter(F.octet_length("text") <= longest)
     # at most sum(most) rows of two numbers
-    return texts.join(F.broadcast(chosen), "_id").select("_id", F.col("_text").alias("text"), F.col("_label").alias("label"))
+    return texts.join(F.broadcast(chosen), "id").dropDuplicates(["id"])
+
+
+def prior_shift(labels: DataFrame, label: str, sample: np.ndarray) -> float:
+    """What to add to a bias so that it fits the labels' shares rather than the sample's."""
+    total = {r["label"]: r["count"] for r in training_labels(labels, label).groupBy("label").count().collect()}
+    ones, zeros = float(sample.sum()), float(sample.size - sample.sum())
+    if not ones or not zeros:
+        return 0.0
+    return float(np.log(total[1] / total[0]) - np.log(ones / zeros))
 
 
 def train(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most_clean: int = MOST_CLEAN) -> Model:
     sample = labelled_sample(docs, labels, "toxic", {0: most_clean, 1: most_toxic})
-    rows = sorted(sample.select("_id", plain(F.col("text")).alias("t"), "label").dropDuplicates(["_id"]).collect())
-    return fit([r["t"] for r in rows], np.array([r["label"] for r in rows], np.float64))
+    rows = sorted(sample.select("id", plain(F.col("text")).alias("t"), "label").collect())
+    toxic = np.array([r["label"] for r in rows], np.float64)
+    model = fit([r["t"] for r in rows], toxic)
+    model.bias += prior_shift(labels, "toxic", toxic)
+    return model
 
 
-def scored(df: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
-    """``df`` with the probability of being toxic in the column ``out``."""
+def scored(df: DataFrame, model: Model, keep: list[str], text: Column | None = None, out: str = "score") -> DataFrame:
+    """The columns ``keep`` of ``df``, and the probability of being toxic in the column ``out``."""
     sent = df.sparkSession.sparkContext.broadcast(model)
-    names = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, bias = sent.value.table(), sent.value.bias
         for batch in batches:
             scores = [float(sigmoid(raw_score(t.as_py(), table, bias))) for t in batch.column("_plain")]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(scores, pa.float64())], [*names, out])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(scores, pa.float64())], [*keep, out])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return df.withColumn("_plain", plain(F.col(text))).mapInArrow(run, f"{schema}, `{out}` double")
+    schema = T.StructType([*(df.schema[c] for c in keep), T.StructField(out, T.DoubleType())])
+    return df.select(*keep, plain(F.col("text") if text is None else text).alias("_plain")).mapInArrow(run, schema)
 
 
 def classified(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), plain(F.col("text")).alias("text"))
-    found = scored(narrow, train(docs, labels, **options)).drop("text")
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    found = scored(narrow, train(docs, labels, **options), ["doc_id"])
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
                         (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def clean(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The documents that aren't found toxic."""
-    return scored(docs, train(docs, labels, **options), out="_toxic").filter(F.col("_toxic") < THRESHOLD).drop("_toxic")
+    rows = docs.select(F.struct(*docs.columns).alias("row"))  # no column of theirs can clash with the score
+    found = scored(rows, train(docs, labels, **options), ["row"], F.col("row.text"))
+    return found.filter(F.col("score") < THRESHOLD).select("row.*")
