@@ -144,10 +144,12 @@ def _close_implied(tag: str, open_tags: list) -> None:
 
 
 def features(page: list[Block]) -> np.ndarray:
-    own = np.array([[b.words, b.density] for b in page], np.float64).reshape(-1, 2)
+    if not page:
+        return np.empty((0, len(FEATURES)))
+    own = np.array([[b.words, b.density] for b in page], np.float64)
     none = np.zeros((1, 2))
     before, after = np.concatenate([none, own[:-1]]), np.concatenate([own[1:], none])
-    rest = np.array([[b.mark, b.heading] for b in page], np.float64).reshape(-1, 2)
+    rest = np.array([[b.mark, b.heading] for b in page], np.float64)
     return np.concatenate([own, before, after, rest], axis=1)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from liasse.llm import bpe, decontam, html, licenses, minhash, quality, rules, secrets, sharding, toxicity
+from liasse.llm import bpe, decontam, html, licenses, minhash, oracles, quality, rules, secrets, sharding, toxicity
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -57,4 +57,4 @@ def op10_toxicity(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_secrets, op2_licenses, op3_minhash, op4_quality, op5_bpe, op6_decontamination, op7_rules,
                                    op8_sharding, op9_html, op10_toxicity)}
-ORACLE: dict[str, str] = {}
+ORACLE = oracles.ORACLE

@@ -62,8 +62,8 @@ def _spans(text: Column, pattern: str, kind: int, least: int = 0, group: int = 0
 
 
 def weights() -> list[int]:
-    """c log2 c for c = 0..WINDOW, in units."""
-    return [0] + [round(c * math.log2(c) * UNIT) for c in range(1, WINDOW + 1)]
+    """c log2 c in units, for c from 0 to one more than a window: a symbol enters before another one leaves."""
+    return [0] + [round(c * math.log2(c) * UNIT) for c in range(1, WINDOW + 2)]
 
 
 def limit(bits: float) -> int:
