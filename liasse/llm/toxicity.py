@@ -35,8 +35,8 @@ LENGTHS = (3, 5, 7)
 SLOTS = 1 << 20
 KEPT = 20_000
 LEAST_DOCUMENTS = 4
-MOST_TOXIC = 2_000
-MOST_CLEAN = 4_000
+MOST_TOXIC = 1_200
+MOST_CLEAN = 2_400
 LONGEST = 100_000
 THRESHOLD = 0.5
 PIECE = 1 << 20
@@ -91,7 +91,10 @@ def fit(texts: list[str], toxic: np.ndarray, rounds: int = 300, rate: float = 0.
     if not len(texts) or toxic.min() == toxic.max():
         share = float(toxic.mean()) if len(texts) else 0.0
         return Model(-40.0 if share < 0.5 else 40.0, none, np.empty(0))
-    found = [np.unique(np.concatenate([none, *grams(t)]), return_counts=True) for t in texts]
+    found = []
+    for t in texts:
+        own, times = np.unique(np.concatenate([none, *grams(t)]), return_counts=True)
+        found.append((own.astype(np.int32), times.astype(np.int32)))
     seen = np.zeros((2, SLOTS))
     for (features, _), y in zip(found, toxic, strict=True):
         seen[int(y), features] += 1
