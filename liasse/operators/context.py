@@ -10,18 +10,19 @@ from liasse.functions.text import (
     approx_tokens, extract_json, looks_truncated, safe_context, strip_ends, strip_fences, truncate_tokens,
 )
 from liasse.plans.ordering import page_block, running_total
+from liasse.schemas import QUERY
 
 
 def _pack(rows: DataFrame, budget: int, text: str) -> DataFrame:
     """Texts of a query in rank order under a token budget; the crossing one is cut, the rest goes."""
-    before = Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*QUERY).orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
     need = approx_tokens(F.col(text))
     used = F.coalesce(F.sum("_need").over(before), F.lit(0))
     fit = rows.withColumn("_need", need).withColumn("_used", used).filter(F.col("_used") < budget)
     room = (F.lit(budget) - F.col("_used")).cast("int")
     cut = F.when(F.col("_need") <= room, F.col(text)).otherwise(truncate_tokens(F.col(text), room))
     parts = F.array_sort(F.collect_list(F.struct("rank", F.col("_cut").alias("t"))))
-    return fit.withColumn("_cut", cut).groupBy("query_id").agg(
+    return fit.withColumn("_cut", cut).groupBy(*QUERY).agg(
         strip_ends(F.array_join(F.transform(parts, lambda p: p["t"]), "\n")).alias("context"),
         F.count(F.lit(1)).alias("n_blocks"))
 
@@ -130,16 +131,24 @@ def history_block(window: DataFrame) -> DataFrame:
 
 
 def resolve_citations(answers: DataFrame, chunks: DataFrame, ident: tuple[str, ...] = ("conv_id", "turn")) -> DataFrame:
-    """Citations ``[source: X, chunk N]`` of each answer, distinct, joined to the chunk they name."""
+    """Citations ``[source: X, chunk N]`` of each answer, distinct, joined to the chunk they name.
+
+    Ordinals start anew in every case: where the chunks have a case, the
+    answers must have one too, and a citation is looked up in its own case.
+    """
+    case = ["case_id"] if "case_id" in chunks.columns else []
+    if case and "case_id" not in answers.columns:
+        raise ValueError("answers need a case_id, as the chunks have one")
+    ident = (*ident, *[c for c in case if c not in ident])
     src = F.regexp_extract_all("text", F.lit(rules.CITE_PATTERN), F.lit(1))
     num = F.regexp_extract_all("text", F.lit(rules.CITE_PATTERN), F.lit(2))
     pairs = F.array_distinct(F.zip_with(src, num, lambda s, n: F.struct(
         F.trim(s).alias("source"), n.cast("bigint").alias("chunk_ord"))))
     cited = answers.select(*ident, F.posexplode(pairs).alias("cite_no", "_c")).select(
         *ident, "cite_no", F.col("_c.source").alias("source"), F.col("_c.chunk_ord").alias("chunk_ord"))
-    known = chunks.select("source", "chunk_ord", *[c for c in ("case_id", "page", "unit_title") if c in chunks.columns],
+    known = chunks.select("source", "chunk_ord", *[c for c in (*case, "page", "unit_title") if c in chunks.columns],
                           F.lit(True).alias("_known"))
-    return cited.join(known, ["source", "chunk_ord"], "left").withColumn(
+    return cited.join(known, [*case, "source", "chunk_ord"], "left").withColumn(
         "resolved", F.coalesce("_known", F.lit(False))).drop("_known")
 
 

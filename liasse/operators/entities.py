@@ -128,6 +128,16 @@ def _role_columns(df: DataFrame, text: Column, linked: Column) -> DataFrame:
     )
 
 
+def mask_names(text: str, terms: str) -> Column:
+    """The folded text with the name token in place of each term.
+
+    While terms are replaced, a private-use character stands for a name: folded
+    terms can't hold it, so no term is found inside an earlier mask.
+    """
+    marked = F.aggregate(terms, F.col(text), lambda s, t: F.replace(s, t, F.lit("\ue000")))
+    return F.replace(marked, F.lit("\ue000"), F.lit(NAME_TOKEN))
+
+
 def score_phone_roles(occ: DataFrame, persons: DataFrame) -> DataFrame:
     """Role scores of each phone occurrence for each person its snippet names."""
     folded = occ.withColumn("_folded", norm_text(F.col("snippet")))
@@ -135,9 +145,9 @@ def score_phone_roles(occ: DataFrame, persons: DataFrame) -> DataFrame:
     spread = terms.select("case_id", "person_id", "_name", "terms", F.explode("terms").alias("_term"))
     pairs = contains_join(folded, spread, ["case_id"], "_folded", "_term", OCC_KEY)
     pairs = pairs.dropDuplicates([*OCC_KEY, "person_id"])
-    masked = F.aggregate("terms", F.col("_folded"), lambda s, t: F.replace(s, t, F.lit(NAME_TOKEN)))
     linked = F.col("near").contains(F.col("_name"))
-    return _role_columns(pairs.withColumn("_masked", masked).withColumn("linked", linked), F.col("_masked"),
+    masked = pairs.withColumn("_masked", mask_names("_folded", "terms"))
+    return _role_columns(masked.withColumn("linked", linked), F.col("_masked"),
                          F.col("linked")).drop("_folded", "_masked", "_term", "terms", "_name")
 
 

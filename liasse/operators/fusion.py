@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from liasse import rules
 from liasse.functions.text import norm_text
 from liasse.plans.ordering import first_rows
+from liasse.schemas import QUERY
 
 RANK_COLUMNS = ["query_id", "case_id", "chunk_ord", "rank"]
 
@@ -28,7 +29,7 @@ def rrf(signals: dict[str, DataFrame], boosts: dict[str, int] | None = None, k:
         b = boosts.get(name, 1)
         one = ranks.select(*RANK_COLUMNS)
         if b > 1:
-            size = F.count(F.lit(1)).over(Window.partitionBy("query_id"))
+            size = F.count(F.lit(1)).over(Window.partitionBy(*QUERY))
             share = sum((1 / (F.lit(float(k)) + F.col("rank") + j * size) for j in range(b)), F.lit(0.0))
         else:
             share = 1 / (F.lit(float(k)) + F.col("rank"))
@@ -42,14 +43,14 @@ def top_fused(fused: DataFrame, params: DataFrame | None = None, limit: int | No
     """Candidates of each query by fused score, up to its own ``n_candidates`` or one limit."""
     order = [F.desc("score"), "chunk_ord"]
     if params is None:
-        return first_rows(fused, ["query_id"], order, limit or rules.TOP_K * rules.SEARCH_MULT, rank="rank")
-    ranked = fused.join(params.select("query_id", "n_candidates"), "query_id").withColumn(
-        "rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
+        return first_rows(fused, QUERY, order, limit or rules.TOP_K * rules.SEARCH_MULT, rank="rank")
+    ranked = fused.join(params.select(*QUERY, "n_candidates"), QUERY).withColumn(
+        "rank", F.row_number().over(Window.partitionBy(*QUERY).orderBy(*order)))
     return ranked.filter(F.col("rank") <= F.col("n_candidates")).drop("n_candidates")
 
 
 def _rerank(df: DataFrame, *order) -> DataFrame:
-    w = Window.partitionBy("query_id").orderBy(*order)
+    w = Window.partitionBy(*QUERY).orderBy(*order)
     return df.withColumn("rank", F.row_number().over(w))
 
 
@@ -57,12 +58,12 @@ def dedup_candidates(hits: DataFrame, text: str = "text") -> DataFrame:
     """Keep the first of candidates with the same folded text; empty ones go."""
     keyed = hits.withColumn("_norm", norm_text(F.col(text))).filter("_norm <> ''").withColumn(
         "_sha", F.sha2("_norm", 256))
-    return _rerank(first_rows(keyed, ["query_id", "_sha"], ["rank"]).drop("_norm", "_sha"), "rank")
+    return _rerank(first_rows(keyed, [*QUERY, "_sha"], ["rank"]).drop("_norm", "_sha"), "rank")
 
 
 def round_robin(hits: DataFrame) -> DataFrame:
     """Take one hit of each source in turn, sources in order of their first hit."""
-    by_source = Window.partitionBy("query_id", "source")
+    by_source = Window.partitionBy(*QUERY, "source")
     turn = F.row_number().over(by_source.orderBy("rank"))
     lead = F.min("rank").over(by_source)
     return _rerank(hits.withColumn("_turn", turn).withColumn("_lead", lead), "_turn", "_lead").drop("_turn", "_lead")
@@ -71,7 +72,7 @@ def round_robin(hits: DataFrame) -> DataFrame:
 def cap_per_source(hits: DataFrame, cap: int | str = rules.MAX_PER_SOURCE) -> DataFrame:
     """At most ``cap`` hits per query and source (0: no cap); ``cap`` may name a column."""
     limit = F.col(cap) if isinstance(cap, str) else F.lit(cap)
-    nth = F.row_number().over(Window.partitionBy("query_id", "source").orderBy("rank"))
+    nth = F.row_number().over(Window.partitionBy(*QUERY, "source").orderBy("rank"))
     kept = hits.withColumn("_nth", nth).filter((limit <= 0) | (F.col("_nth") <= limit)).drop("_nth")
     return _rerank(kept, "rank")
 
@@ -79,7 +80,7 @@ def cap_per_source(hits: DataFrame, cap: int | str = rules.MAX_PER_SOURCE) -> Da
 def expand_neighbors(hits: DataFrame, chunks: DataFrame, params: DataFrame, extra: int | None = None) -> DataFrame:
     """Base hits first, then the chunks before and after each, under the same cap per source.
 
-    ``params``: query_id, top_k, max_per_source. Up to top_k + extra rows
+    ``params``: query_id, case_id, top_k, max_per_source. Up to top_k + extra rows
     (extra defaults to top_k).
     """
     base = hits.select("query_id", "case_id", "chunk_ord", F.lit(0).alias("_phase"),
@@ -91,8 +92,8 @@ def expand_neighbors(hits: DataFrame, chunks: DataFrame, params: DataFrame, extr
              (F.col("_r") * 2 + F.when(F.col("_step") > 0, 1).otherwise(0)).alias("_at"))
     lined = first_rows(base.unionByName(near), ["query_id", "case_id", "chunk_ord"], ["_phase", "_at"])
     full = lined.join(chunks, ["case_id", "chunk_ord"]).join(
-        params.select("query_id", "top_k", "max_per_source"), "query_id")
-    nth = F.row_number().over(Window.partitionBy("query_id", "source").orderBy("_phase", "_at"))
+        params.select(*QUERY, "top_k", "max_per_source"), QUERY)
+    nth = F.row_number().over(Window.partitionBy(*QUERY, "source").orderBy("_phase", "_at"))
     kept = full.withColumn("_nth", nth).filter(
         (F.col("max_per_source") <= 0) | (F.col("_nth") <= F.col("max_per_source")))
     room = F.col("top_k") + (F.lit(extra) if extra is not None else F.col("top_k"))
@@ -108,7 +109,7 @@ def budget_chars(hits: DataFrame, per_hit: int | None, total: int | None, text:
     out = hits.withColumn(text, cut)
     if total is None:
         return out
-    before = Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*QUERY).orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
     used = F.coalesce(F.sum(F.length(text)).over(before), F.lit(0))
     return (
         out.withColumn("_used", used).filter(F.col("_used") < total)

@@ -9,6 +9,7 @@ from liasse import rules
 from liasse.functions.text import tokens
 from liasse.plans.matching import is_small
 from liasse.plans.ordering import first_rows
+from liasse.schemas import QUERY
 
 SCORE_DIGITS = 6
 
@@ -92,7 +93,9 @@ def bm25_scores(chunks: DataFrame, queries: DataFrame, weights: DataFrame | None
 
 
 def bm25(chunks: DataFrame, queries: DataFrame, weights: DataFrame | None = None, limit: int | None = None) -> DataFrame:
-    """Top chunks per query. Scores are rounded first, so equal texts tie and ordinals decide."""
+    """Top chunks per query of those that share a word with it; common words may give them a score of zero or less.
+
+    Scores are rounded first, so equal texts tie and ordinals decide.
+    """
     top = limit or rules.TOP_K * rules.SEARCH_MULT
-    scored = bm25_scores(chunks, queries, weights).filter(F.col("score") > 0)
-    return first_rows(scored, ["query_id"], [F.desc("score"), "chunk_ord"], top, rank="rank")
+    return first_rows(bm25_scores(chunks, queries, weights), QUERY, [F.desc("score"), "chunk_ord"], top, rank="rank")

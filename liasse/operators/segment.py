@@ -110,7 +110,8 @@ def number_pages(pages: DataFrame) -> DataFrame:
     through the running count. The count goes over page blocks, so one very
     long document does not land in one task.
     """
-    titled = staged(detect_titles(pages).select(*DOC, "page", "title"))
+    # rows of one page number count as one page: the numbering has one row for each
+    titled = staged(detect_titles(pages).groupBy(*DOC, "page").agg(F.min("title").alias("title")))
     opening = titled.groupBy(*DOC).agg(F.min("page").alias("_first"))
     flagged = titled.join(opening, DOC).withColumn(
         "_opens", (F.col("title").isNotNull() & (F.col("page") > F.col("_first"))).cast("int"))
@@ -201,11 +202,11 @@ def unit_anchors(numbered: DataFrame, units: DataFrame) -> DataFrame:
     )
 
 
-def unit_text(pages: DataFrame, keys: DataFrame | None = None, cap: int = 2_000_000) -> DataFrame:
+def unit_text(pages: DataFrame, keys: DataFrame | None = None, cap: int | None = None) -> DataFrame:
     """Readable text of each unit: header with type and date, then marked pages.
 
-    ``keys`` (case_id, source, unit_index) limits the units. Bodies are put
-    together up to ``cap`` characters, far past what a reader opens.
+    ``keys`` (case_id, source, unit_index) limits the units. Bodies are whole;
+    a reader may ask for their first ``cap`` characters.
     """
     from liasse.plans.ordering import capped_concat
 

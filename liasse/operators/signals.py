@@ -9,6 +9,7 @@ from liasse import rules
 from liasse.functions.text import norm_text
 from liasse.plans.matching import contains_join
 from liasse.plans.ordering import first_rows
+from liasse.schemas import QUERY
 from liasse.schemas import with_chunk_meta
 
 
@@ -59,7 +60,7 @@ def retrieval_params(queries: DataFrame, top_k: int = rules.TOP_K) -> DataFrame:
 
 
 def _ranked(hits: DataFrame, limit: int) -> DataFrame:
-    return first_rows(hits, ["query_id"], [F.desc("score"), "chunk_ord"], limit, rank="rank").select(
+    return first_rows(hits, QUERY, [F.desc("score"), "chunk_ord"], limit, rank="rank").select(
         "query_id", "case_id", "chunk_ord", "score", "rank")
 
 

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 UNBOUNDED = Window.unboundedPreceding
+#: greater than any block, by type
+_LAST = {"bigint": 2**63 - 1, "int": 2**31 - 1, "string": "\U0010ffff"}
 
 
 def block_offsets(df: DataFrame, keys: Sequence[str], block: str, value: Column) -> DataFrame:
@@ -35,14 +37,15 @@ def running_total(
 ) -> DataFrame:
     """Add ``out``: the sum of ``value`` over the rows before this one within ``keys``.
 
-    ``block`` must be monotone in ``order``. With ``below``, rows whose total
+    ``block`` must be monotone in ``order``; rows where it is null come last. With ``below``, rows whose total
     already reached that bound are dropped, whole blocks before any window.
     """
-    src = df.withColumn("_blk", block).withColumn("_val", value)
+    # rows without a place in the order come last, in a block of their own
+    src = df.withColumn("_blk", F.coalesce(block, F.lit(_LAST[dict(df.select(block.alias("b")).dtypes)["b"]]))).withColumn("_val", value)
     offsets = block_offsets(src, keys, "_blk", F.col("_val"))
     if below is not None:
         offsets = offsets.filter(F.col("_before") < below)
-    inside = Window.partitionBy(*keys, "_blk").orderBy(*order).rowsBetween(UNBOUNDED, -1)
+    inside = Window.partitionBy(*keys, "_blk").orderBy(*[F.asc_nulls_last(c) for c in order]).rowsBetween(UNBOUNDED, -1)
     got = (
         src.join(offsets, [*keys, "_blk"])
         .withColumn(out, F.col("_before") + F.coalesce(F.sum("_val").over(inside), F.lit(0)))
@@ -57,11 +60,11 @@ def capped_concat(
     order: Sequence[str],
     block: Column,
     text: str,
-    cap: int,
+    cap: int | None,
     sep: str = "\n\n",
     out: str = "text",
 ) -> DataFrame:
-    """Join the texts of a key in order, up to ``cap`` characters.
+    """Join the texts of a key in order, up to ``cap`` characters (None: all).
 
     Only rows that start below the cap (or whose separator does) are ever
     gathered, so a gathered group holds about ``cap`` characters plus one row.
@@ -69,19 +72,20 @@ def capped_concat(
     filled = df.filter(F.length(text) > 0)
     need = running_total(
         filled.select(*keys, *order, F.col(text).alias("_text"), block.alias("_b")),
-        keys, order, F.length("_text") + len(sep), F.col("_b"), "_at", below=cap + len(sep),
+        keys, order, F.length("_text") + len(sep), F.col("_b"), "_at", below=None if cap is None else cap + len(sep),
     )
     parts = F.array_sort(F.collect_list(F.struct(F.col("_at"), F.col("_text"))))
     joined = F.array_join(F.transform(parts, lambda p: p["_text"]), sep)
-    return need.groupBy(*keys).agg(F.left(joined, F.lit(cap)).alias(out))
+    return need.groupBy(*keys).agg((joined if cap is None else F.left(joined, F.lit(cap))).alias(out))
 
 
-def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], n: int = 1,
+def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], n: int | None = 1,
                rank: str | None = None) -> DataFrame:
-    """The first ``n`` rows of each key. Spark prunes to ``n`` per map task before the shuffle."""
+    """The first ``n`` rows of each key (None: all, ranked). Spark prunes to ``n`` per map task before the shuffle."""
     name = rank or "_rn"
     w = Window.partitionBy(*keys).orderBy(*order)
-    got = df.withColumn(name, F.row_number().over(w)).filter(F.col(name) <= n)
+    got = df.withColumn(name, F.row_number().over(w))
+    got = got if n is None else got.filter(F.col(name) <= n)
     return got if rank else got.drop(name)
 
 

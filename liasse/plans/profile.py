@@ -7,30 +7,31 @@ from pyspark.sql import functions as F
 
 from liasse import rules
 from liasse.operators import entities, evidence, persons as people
+from liasse.session import staged
 
 PERSON = ["person_id", "case_id"]
 
 
-def person_profile(chunks: DataFrame, persons: DataFrame, civil_limit: int = 80, global_limit: int = 160,
-                   search=None) -> DataFrame:
+def person_profile(chunks: DataFrame, persons: DataFrame, search=None, fallback_limit: int = 400) -> DataFrame:
     """One row per person. ``search`` (queries -> hits) fills in for persons nobody mentions.
 
-    Mentions are found once and shared by all snippet lists.
+    Mentions are found once, written down and shared by all snippet lists. Counts,
+    votes and first hits go over all mentions.
     """
-    found = people.mentions(chunks, persons)
-    civil = people.civil_snippets(chunks, persons, civil_limit, found)
-    wide = people.global_snippets(chunks, persons, 400, found)
-    home = people.address_snippets(chunks, persons, 20, found)
+    found = staged(people.mentions(chunks, persons))
+    civil = people.civil_snippets(chunks, persons, None, found)
+    wide = people.global_snippets(chunks, persons, None, found)
+    home = people.address_snippets(chunks, persons, None, found)
     if search is not None:
-        civil = people.with_fallback(civil, persons, search, rules.CIVIL_QUERY, 30, civil_limit, min_score=8)
-        wide = people.with_fallback(wide, persons, search, rules.GLOBAL_QUERY, 60, 400)
-        home = people.with_fallback(home, persons, search, rules.ADDRESS_QUERY, 40, 20)
+        civil = people.with_fallback(civil, persons, search, rules.CIVIL_QUERY, 30, fallback_limit, min_score=8)
+        wide = people.with_fallback(wide, persons, search, rules.GLOBAL_QUERY, 60, fallback_limit)
+        home = people.with_fallback(home, persons, search, rules.ADDRESS_QUERY, 40, fallback_limit)
     facts = evidence.evidence_stats(evidence.dedup_evidence(evidence.classify_evidence(wide)))
     counts = lambda df, name: df.groupBy(*PERSON).agg(F.count(F.lit(1)).alias(name))
     panel = entities.technical_panel(chunks, persons).filter("person_id is not null").groupBy(*PERSON).agg(
         F.count(F.lit(1)).alias("n_technical"))
     out = persons.select(*PERSON, "name")
-    parts = [counts(civil, "n_civil"), counts(wide.filter(F.col("rank") <= global_limit), "n_global"), facts,
+    parts = [counts(civil, "n_civil"), counts(wide, "n_global"), facts,
              people.birth_info(civil), people.address_vote(home), panel]
     for part in parts:
         out = out.join(part, PERSON, "left")

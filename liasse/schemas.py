@@ -13,6 +13,9 @@ QUERIES = "query_id bigint, case_id string, text string, top_k int, inventory_mo
 
 PERSONS = "person_id bigint, case_id string, name string, aliases array<string>"
 
+#: a query is told by its id within its case
+QUERY = ["query_id", "case_id"]
+
 #: chunk columns every retrieval and person job carries along
 CHUNK_KEYS = ["case_id", "chunk_ord"]
 

@@ -28,11 +28,13 @@ def local_session(cores: str | int = 8, app: str = "liasse") -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors see, as the cluster names it.
 
-    Only where ``spark.checkpoint.dir`` is unset (single-machine tests) a
-    temporary folder is made.
+    Only where ``spark.checkpoint.dir`` is unset and the session runs on one
+    machine (tests) a temporary folder is made; a cluster must name one.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="liasse-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(named)
     return named

@@ -61,7 +61,7 @@ _CITED = "concat(text, ' [source: src', turn % 20, ', chunk ', conv_id, '] et [S
 
 
 def citations(spark, d):
-    answers = b.text_table(spark, d, "conversations").withColumn("text", F.expr(_CITED))
+    answers = b.text_table(spark, d, "conversations").select("conv_id", "turn", b.one_case("conv_id"), F.expr(_CITED).alias("text"))
     return C.resolve_citations(answers, b.documents(spark, d)).select("conv_id", "turn", "cite_no", "source", "chunk_ord", "resolved")
 
 

@@ -38,7 +38,7 @@ def fallback_snippets(spark, d):
 
 
 def _evidence(spark, d):
-    snips = P.global_snippets(b.case_chunks(spark, d), b.persons(spark, d), 400)
+    snips = P.global_snippets(b.case_chunks(spark, d), b.persons(spark, d))
     return V.dedup_evidence(V.classify_evidence(snips))
 
 
@@ -140,11 +140,11 @@ _HEAD = f"WITH {duck.CASE}, {duck.PERSONS}, {_M}"
 _CATS = [(fam, cat, terms) for fam, cats in rules.EVIDENCE.items() for cat, terms in cats.items()]
 _EV = f"""
 {_GLOBAL_SC},
-top AS (SELECT *, row_number() OVER (PARTITION BY person_id, case_id ORDER BY score DESC, page) AS rank FROM glo QUALIFY rank <= 400),
+top AS (SELECT *, row_number() OVER (PARTITION BY person_id, case_id ORDER BY score DESC, page) AS rank FROM glo),
 ev AS ({" UNION ALL ".join(f"SELECT person_id, case_id, page, rank, '{fam}' AS family, '{cat}' AS category, {i} AS pl FROM top WHERE {duck.has_any('f', terms)}"
   for i, (fam, cat, terms) in enumerate(_CATS))}),
 dd AS (SELECT *, row_number() OVER (PARTITION BY person_id, case_id, family ORDER BY rank, pl) AS evidence_rank FROM (
-  SELECT * FROM ev QUALIFY row_number() OVER (PARTITION BY person_id, case_id, category, page % 3, page ORDER BY rank) = 1) QUALIFY evidence_rank <= 200)"""
+  SELECT * FROM ev QUALIFY row_number() OVER (PARTITION BY person_id, case_id, category, page % 3, page ORDER BY rank) = 1))"""
 
 from liasse.workload.entity_jobs import _E164, _EMAIL, _IBAN, _IP, _PHONE, _PLATE, _SNIP, _WIN, _spans  # noqa: E402
 
@@ -188,13 +188,13 @@ ORACLE = {
     "evidence_rows": f"{_HEAD}, {_EV} SELECT person_id, family, category, page AS chunk_ord, evidence_rank FROM dd",
     "evidence_counts": f"{_HEAD}, {_EV} SELECT person_id, case_id, {', '.join(f'sum(CAST(category = {chr(39)}{c}{chr(39)} AS INT))::BIGINT AS {c}' for _, c, _ in _CATS)} FROM dd GROUP BY ALL",
     "birth_info": rf"""{_HEAD}, {_CIVIL_SC},
-sn AS (SELECT person_id, b.page, row_number() OVER (PARTITION BY person_id, case_id ORDER BY score DESC, b.page) AS rank, text FROM civbest b JOIN casefile USING (case_id, page) QUALIFY rank <= 40),
+sn AS (SELECT person_id, b.page, row_number() OVER (PARTITION BY person_id, case_id ORDER BY score DESC, b.page) AS rank, text FROM civbest b JOIN casefile USING (case_id, page)),
 bi AS (SELECT person_id, rank, nullif(regexp_extract(text, 'né le ((?:\d{{1,2}}/\d{{1,2}}/\d{{4}})|(?:\d{{1,2}} \w+ \d{{4}}))', 1), '') AS d,
   nullif(rtrim(regexp_extract(text, 'né le .+? à ([A-Za-zéèêàâîôûùçÉ][^,;\n]+)', 1), ' .'), '') AS p FROM sn)
 SELECT person_id, arg_min(d, rank) FILTER (WHERE d IS NOT NULL) AS birth_date, arg_min(p, rank) FILTER (WHERE p IS NOT NULL) AS birth_place FROM bi
 GROUP BY person_id HAVING birth_date IS NOT NULL OR birth_place IS NOT NULL""",
     "address_vote": rf"""{_HEAD}, {_ADDR_SC},
-sn AS (SELECT person_id, page, source, row_number() OVER (PARTITION BY person_id, case_id ORDER BY score DESC, page) AS rank, replace(text, chr(10), ' ') AS t FROM adr WHERE score > 0 QUALIFY rank <= 20),
+sn AS (SELECT person_id, page, source, row_number() OVER (PARTITION BY person_id, case_id ORDER BY score DESC, page) AS rank, replace(text, chr(10), ' ') AS t FROM adr WHERE score > 0),
 ca AS (SELECT person_id, rank, concat(source, ' p.', page) AS cite, trim(unnest(regexp_extract_all(t, '(?:domicilié|demeurant|résidant) (?:au|à|chez) [^.;]+'))) AS a FROM sn),
 vo AS (SELECT person_id, lower(a) AS k, count(*) AS n, min(rank) AS r, arg_min(a, rank) AS a, list_sort(list_distinct(list(cite))) AS cs FROM ca GROUP BY ALL),
 be AS (SELECT *, row_number() OVER (PARTITION BY person_id ORDER BY n DESC, r) AS o FROM vo)

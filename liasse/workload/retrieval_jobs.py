@@ -104,7 +104,7 @@ def cap_per_source(spark, d):
 
 
 def _params(hits):
-    return hits.select("query_id").distinct().withColumn("top_k", F.lit(12)).withColumn("max_per_source", F.lit(3))
+    return hits.select("query_id", "case_id").distinct().withColumn("top_k", F.lit(12)).withColumn("max_per_source", F.lit(3))
 
 
 def neighbors(spark, d):
@@ -132,7 +132,7 @@ def group_hits(spark, d):
 
 def mmr_topk(spark, d):
     q, v = b.query_vectors(spark, d), b.vectors(spark, d)
-    params = q.select("query_id", F.lit(12).alias("top_k"), F.lit(0.7).alias("mmr_lambda"))
+    params = q.select("query_id", "case_id", F.lit(12).alias("top_k"), F.lit(0.7).alias("mmr_lambda"))
     return dense.mmr(dense.dense(v, q, LIMIT), v, q, params).select("query_id", "chunk_ord", "rank")
 
 
@@ -176,7 +176,8 @@ tok AS (SELECT doc_id, {duck.tokens('text')} AS ts FROM documents),
 size AS (SELECT count(*) AS n, sum(len(ts)) / count(*) AS avg_len FROM tok),
 df AS (SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest(ts) AS term FROM tok) GROUP BY term),
 raw AS (SELECT term, df, n, avg_len, ln(n - df + 0.5) - ln(df + 0.5) AS r FROM df, size),
-w AS (SELECT term, df, n, avg_len, CASE WHEN r < 0 THEN 0.25 * (SELECT avg(r) FROM raw) ELSE r END AS idf FROM raw)"""
+mean AS (SELECT avg(r) AS m FROM raw),
+w AS (SELECT term, df, n, avg_len, CASE WHEN r < 0 THEN 0.25 * m ELSE r END AS idf FROM raw, mean)"""
 
 
 def _bm25(queries: str) -> str:
@@ -188,7 +189,7 @@ tf AS (SELECT doc_id, term, count(*) AS tf, any_value(dl) AS dl
 sc AS (SELECT query_id, doc_id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avg_len))), 6) AS score
        FROM qt JOIN w USING (term) JOIN tf USING (term) GROUP BY query_id, doc_id),
 lexical AS (SELECT query_id, doc_id AS chunk_ord, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank
-       FROM sc WHERE score > 0 QUALIFY rank <= {LIMIT})"""
+       FROM sc QUALIFY rank <= {LIMIT})"""
 
 
 _PHRASED = rf"""SELECT item_id AS query_id, concat('liste ', source, ' : "',
