@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from liasse.llm import shingles as sh
+from liasse.llm.batches import map_batches
 from liasse.session import staged
 
 BANDS = 32
@@ -99,17 +100,26 @@ def sketches(docs: DataFrame, text: str = "text", bands: int = BANDS, rows: int
                 ["doc_id", "text_key", "sig"])
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col(text)).alias("text_key"), sh.plain_words(F.col(text)).alias("_words"))
-    drawn = narrow.mapInArrow(run, "doc_id long, text_key binary, sig array<int>")
+    drawn = map_batches(narrow, run, "doc_id long, text_key binary, sig array<int>")
     hashes = F.array(*[F.xxhash64(F.lit(i), F.slice("sig", i * rows + 1, rows)) for i in range(bands)])
     return drawn.withColumn("bands", F.when(F.size("sig") > 0, hashes).otherwise(F.array().cast("array<bigint>")))
 
 
-def verified(pairs: DataFrame, docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``pairs`` of text keys (a, b) with their exact similarity.
+def texts_of(pairs: DataFrame, docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """text_key and words of the texts in ``pairs``, written once.
 
     ``docs``: doc_id, text; ``ids``: the smallest doc_id of each text key, by
     which one row of each needed text is read, however many copies it has.
     """
+    needed = pairs.select(F.col("a").alias("text_key")).union(pairs.select("b")).distinct().join(ids, "text_key")
+    needed = needed.select(F.col("text_key").alias("_key"), F.col("copy_id").alias("_id"))
+    keyed = docs.select(text_key(F.col("text")).alias("text_key"), F.col("doc_id"), sh.plain_words(F.col("text")).alias("_text"))
+    found = keyed.join(needed, (F.col("text_key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    return staged(found.dropDuplicates(["text_key"]).select("text_key", "_text"))
+
+
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """``pairs`` of text keys (a, b) with their exact similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: tuple = (None, None)  # neighbouring rows share a pivot
@@ -121,15 +131,10 @@ def verified(pairs: DataFrame, docs: DataFrame, ids: DataFrame) -> DataFrame:
                 sims.append(probability_jaccard(sh.weighted(ta), kept[1]))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(sims, pa.float64())], ["a", "b", "similarity"])
 
-    needed = pairs.select(F.col("a").alias("text_key")).union(pairs.select("b")).distinct().join(ids, "text_key")
-    needed = needed.select(F.col("text_key").alias("_key"), F.col("copy_id").alias("_id"))
-    keyed = docs.select(text_key(F.col("text")).alias("text_key"), F.col("doc_id"), sh.plain_words(F.col("text")).alias("_text"))
-    found = keyed.join(needed, (F.col("text_key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    texts = staged(found.dropDuplicates(["text_key"]).select("text_key", "_text"))
     left = texts.withColumnsRenamed({"text_key": "a", "_text": "_ta"})
     right = texts.withColumnsRenamed({"text_key": "b", "_text": "_tb"})
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "_ta", "_tb")
-    return joined.mapInArrow(run, "a binary, b binary, similarity double")
+    return map_batches(joined, run, "a binary, b binary, similarity double")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -205,10 +210,11 @@ def near_duplicates(docs: DataFrame, text: str = "text", bands: int = BANDS, row
     pivots = spread.groupBy("band").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     buckets = staged(spread.join(pivots.select("band", "pivot"), "band"))
     star = staged(buckets.filter("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct())
-    near = staged(verified(star, base, ids))
+    texts = texts_of(star, base, ids)  # later pairs have no others
+    near = staged(verified(star, texts))
     links = near.filter(F.col("similarity") >= threshold)
     roots = components(links)
-    more = staged(verified(staged(_meetings(buckets, near, roots, one, threshold, margin)), base, ids)).filter(F.col("similarity") >= threshold)
+    more = staged(verified(staged(_meetings(buckets, near, roots, one, threshold, margin)), texts)).filter(F.col("similarity") >= threshold)
     if not more.isEmpty():
         links = links.unionByName(more)
         roots = components(links)
