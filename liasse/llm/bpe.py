@@ -28,6 +28,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from liasse.llm.batches import map_batches
+
 MAX_VOCABULARY = 64 << 20
 LONG_TEXT = 1 << 20
 CACHED_PIECE = 64
@@ -160,7 +162,7 @@ def _mapped(df: DataFrame, source: str, targets: list[str], worker) -> DataFrame
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in rest), *(pa.array(m, pa.binary()) for m in made)], [*rest, *targets])
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [f"`{t}` binary" for t in targets])
-    return df.mapInArrow(run, schema)
+    return map_batches(df, run, schema)
 
 
 def encode(df: DataFrame, vocabulary: bytes, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:

@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from liasse.llm import shingles as sh
+from liasse.llm.batches import map_batches
 
 SIMILARITY = 0.8
 RADIUS = 20
@@ -185,7 +186,7 @@ def passages(docs: DataFrame, benchmark: DataFrame, keep: list[str], text: str =
                 yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("items"), pa.array(made, shape)], ["row", "items", "more"])
 
         given = out.select("row", "items", sh.plain_words(F.col("text")).alias("words"))
-        out = given.mapInArrow(run, T.StructType([given.schema["row"], given.schema["items"], T.StructField("more", pair)])).select(
+        out = map_batches(given, run, T.StructType([given.schema["row"], given.schema["items"], T.StructField("more", pair)])).select(
             "row", F.array_sort(F.concat("items", "more")).alias("items"))
     return out.select(F.struct(*[F.col(f"row.`{c}`") for c in keep]).alias("row"), "items")
 

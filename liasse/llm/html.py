@@ -32,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from liasse.llm.batches import map_batches
+
 FEATURES = ("words", "density", "words_before", "density_before", "words_after", "density_after", "mark", "heading")
 DEPTH = 6
 LEAST_LEAF = 2
@@ -211,7 +213,7 @@ def extracted(pages: DataFrame, keep: list[str], source: str = "html", out: str
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), texts], [*keep, out])
 
     schema = ", ".join([f"`{c}` {kinds[c]}" for c in keep] + [f"`{out}` string"])
-    return pages.select(*keep, F.col(source).alias("_page")).mapInArrow(run, schema)
+    return map_batches(pages.select(*keep, F.col(source).alias("_page")), run, schema)
 
 
 def report(pages: DataFrame) -> DataFrame:

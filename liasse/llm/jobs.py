@@ -6,12 +6,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from liasse.llm import bpe, decontam, html, licenses, minhash, oracles, quality, rules, secrets, sharding, toxicity
+from liasse.session import spread
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    return spread(spark.read.parquet(f"{d}/{name}.parquet"))
 
 
 def op1_secrets(spark: SparkSession, d: str) -> DataFrame:

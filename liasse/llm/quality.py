@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from liasse.llm.batches import map_batches
 from liasse.llm.toxicity import held_out, labelled_sample, prior_shift, sigmoid
 
 BLOCK = 512
@@ -123,7 +124,7 @@ def scored(df: DataFrame, model: Model, keep: list[str], text: str = "text", out
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), made], [*keep, out])
 
     schema = T.StructType([*(df.schema[c] for c in keep), T.StructField(out, T.DoubleType())])
-    return df.select(*keep, F.col(text).alias("_text")).mapInArrow(run, schema)
+    return map_batches(df.select(*keep, F.col(text).alias("_text")), run, schema)
 
 
 def classified(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:

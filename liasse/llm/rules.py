@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from liasse.llm import shingles as sh
+from liasse.llm.batches import map_batches
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters")
 SYMBOLS = b"#*$%&|<>"
@@ -88,7 +89,7 @@ def ledger(df: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     schema = ", ".join([f"`{c}` {kinds[c]}" for c in keep] + [f"{m} long" for m in MEASURES])
     lines = df.select(*keep, F.concat(F.coalesce(F.col(text), F.lit("")), F.lit("\n")).alias("_lines"))
-    measured = lines.mapInArrow(lambda batches: _measured(batches, keep), schema)
+    measured = map_batches(lines, lambda batches: _measured(batches, keep), schema)
     bits = [F.when(F.expr(rule), F.lit(BIT[name])).otherwise(F.lit(0)) for name, rule in RULES.items()]
     failed = bits[0]
     for bit in bits[1:]:

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from liasse.llm import shingles as sh
+from liasse.llm.batches import map_batches
 
 LENGTHS = (3, 5, 7)
 SLOTS = 1 << 20
@@ -171,7 +172,7 @@ def scored(df: DataFrame, model: Model, keep: list[str], text: Column | None = N
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(scores, pa.float64())], [*keep, out])
 
     schema = T.StructType([*(df.schema[c] for c in keep), T.StructField(out, T.DoubleType())])
-    return df.select(*keep, plain(F.col("text") if text is None else text).alias("_plain")).mapInArrow(run, schema)
+    return map_batches(df.select(*keep, plain(F.col("text") if text is None else text).alias("_plain")), run, schema)
 
 
 def classified(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
