@@ -293,3 +293,21 @@ base AS (SELECT query_id, chunk_ord, row_number() OVER (PARTITION BY query_id OR
 SELECT query_id, chunk_ord, source, rank FROM final""".replace(
         "1 / (60.0 + rank) + 1 / (60.0 + rank + count(*) OVER (PARTITION BY query_id)) FROM name", "1 / (60.0 + rank) FROM name"),
 }
+
+
+def _grouped() -> str:
+    """The fused search of the phrased queries, its hits grouped.
+
+    They ask for lists, so limits are three times as wide and sources have no
+    cap; whole documents have no units, so a source is one group.
+    """
+    hits = ORACLE["hybrid_search"].rsplit("SELECT query_id, chunk_ord, source, rank FROM final", 1)[0]
+    for old, new in (("SELECT item_id AS query_id, text FROM benchmark", _PHRASED), (f"<= {LIMIT}", f"<= {2 * LIMIT}"), ("rank <= 24)", "rank <= 72)"),
+                     ("QUALIFY rank <= 12)", "QUALIFY rank <= 36)"), ("WHERE turn <= 3)", ")"), ("ORDER BY phase, pos) <= 3)", "ORDER BY phase, pos) > 0)")):
+        hits = hits.replace(old, new)
+    return f"""{hits},
+g AS (SELECT query_id, concat(source, '|-1') AS unit_key, min(rank) AS best, count(*)::INT AS n_chunks FROM final GROUP BY ALL)
+SELECT query_id, unit_key, (row_number() OVER (PARTITION BY query_id ORDER BY best))::INT AS rank, n_chunks FROM g"""
+
+
+ORACLE["hybrid_grouped"] = _grouped()
