@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 FEW_PER_CASE = 64
 SMALL_SET = 100_000
 GRAM = 4
+LITERALS = 20_000
 
 
 def is_small(df: DataFrame, rows: int = SMALL_SET) -> bool:
@@ -50,6 +51,15 @@ def _grams(text: Column) -> Column:
     return F.filter(every, lambda g: F.length(g) == GRAM)
 
 
+def _only(keys_of_text: Column, patterns: DataFrame, key: str) -> Column:
+    """The grams or words of a text that any pattern has, where these are few enough to be written into the plan.
+
+    So a row is repeated for its hits only, not for all of its grams.
+    """
+    known = [r[0] for r in patterns.select(key).distinct().limit(LITERALS + 1).collect()]
+    return keys_of_text if len(known) > LITERALS else F.filter(keys_of_text, lambda k: k.isin(known))
+
+
 def _rarest_gram(patterns: DataFrame, keys: Sequence[str], pattern: str) -> DataFrame:
     """Each distinct string of a case with the gram that the fewest strings of the case share."""
     spread = patterns.select(*keys, pattern).distinct().select(*keys, pattern, F.explode(_grams(F.col(pattern))).alias("_gram"))
@@ -82,19 +92,21 @@ def contains_join(
     ids = list(dict.fromkeys([*row_key, *keys]))
     cols = [*texts.columns, *keep]
     long = patterns.join(_rarest_gram(patterns.filter(F.length(pattern) >= GRAM), keys, pattern), [*keys, pattern])
-    with_gram = F.explode(_grams(F.col(text))).alias("_gram")
+    with_gram = lambda grams: F.explode(grams).alias("_gram")
     # strings shorter than a gram: few distinct ones exist, so match those and join their rows
     short = patterns.filter(F.length(pattern) < GRAM)
     if small:
-        hits = texts.select("*", with_gram).join(F.broadcast(long), [*keys, "_gram"])
+        hits = texts.select("*", with_gram(_only(_grams(F.col(text)), long, "_gram"))).join(F.broadcast(long), [*keys, "_gram"])
         found = hits.filter(F.col(text).contains(F.col(pattern))).select(*cols)
         if short.isEmpty():
             return found
     else:
-        cand = texts.select(*ids, with_gram).join(long, [*keys, "_gram"]).select(*ids, *keep)
+        # equal keys once here: the join below brings back every row that has them
+        cand = texts.select(*ids, with_gram(_grams(F.col(text)))).distinct().join(long, [*keys, "_gram"]).select(*ids, *keep)
         found = cand.join(texts, ids).filter(F.col(text).contains(F.col(pattern))).select(*cols)
-    short_hits = _scan(texts.select(*ids, text), short.select(*keys, pattern).distinct(), keys, [pattern], test)
-    rest = short_hits.drop(text).join(short, [*keys, pattern]).select(*ids, *keep).join(texts, ids)
+    short_hits = _scan(texts.select(*ids, text).distinct(), short.select(*keys, pattern).distinct(), keys, [pattern], test)
+    rest = short_hits.drop(text).join(short, [*keys, pattern]).select(*ids, *keep).distinct().join(texts, ids)
+    rest = rest.filter(F.col(text).contains(F.col(pattern)))
     return found.unionByName(rest.select(*cols))
 
 
@@ -117,10 +129,10 @@ def word_join(
     if small is None:
         small = is_small(patterns)
     if small:
-        exploded = texts.withColumn(word, F.explode(words(low)))
+        exploded = texts.withColumn(word, F.explode(_only(words(low), patterns, word)))
         return exploded.join(F.broadcast(patterns), [*keys, word])
     ids = list(dict.fromkeys([*row_key, *keys]))
-    cand = texts.select(*ids, F.explode(words(low)).alias(word)).join(patterns, [*keys, word])
+    cand = texts.select(*ids, F.explode(words(low)).alias(word)).distinct().join(patterns, [*keys, word])
     return cand.join(texts, ids)
 
 

@@ -70,3 +70,16 @@ def test_scores_come_in_tiles(monkeypatch):
     monkeypatch.setattr(dense, "TILE_BYTES", 8 * 50 * 7)
     parts = list(dense._best(np.arange(30), q, "c", np.arange(50)[::-1].copy(), v, 5))
     assert len(parts) == 5 and pd.concat(parts).reset_index(drop=True).equals(whole.reset_index(drop=True))
+
+
+def test_joins_agree_on_rows_that_come_twice(spark):
+    from liasse.plans.matching import contains_join, word_join
+
+    texts = spark.createDataFrame([("c", 1, "le chat noir dort"), ("c", 1, "le chat noir dort"), ("c", 2, "la chatte"), ("d", 1, "chat")],
+                                  "case_id string, chunk_ord bigint, text string")
+    pats = spark.createDataFrame([("c", "chat"), ("c", "noir dort"), ("c", "le"), ("c", "dort"), ("d", "zz")], "case_id string, pat string")
+    got = [sorted(map(tuple, contains_join(texts, pats, ["case_id"], "text", "pat", ["case_id", "chunk_ord"], small).collect())) for small in (None, False)]
+    assert got[0] == got[1] and sum(r[1] == 1 for r in got[0]) == 8
+    words = [sorted(map(tuple, word_join(texts, pats, ["case_id"], "text", "pat", ["case_id", "chunk_ord"], small).select(
+        "case_id", "chunk_ord", "text", "pat").collect())) for small in (True, False)]
+    assert words[0] == words[1] and len(words[0]) == 6
