@@ -74,6 +74,9 @@ class Block:
 
 
 def _mark(tag: str, attributes: dict[str, str], inside_main: bool) -> int:
+    """-1: stands around the text, 1: article and the like, 0: says nothing. Names on the whole page tell what it holds, not what it is."""
+    if tag in ("html", "body"):
+        return 0
     named = " ".join(attributes.get(k, "") for k in ("class", "id", "role"))
     if tag in AROUND and not (tag == "header" and inside_main) or "hidden" in attributes or AROUND_WORDS.search(named):
         return -1

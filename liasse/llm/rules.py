@@ -38,8 +38,8 @@ _POINT = ~_SPACE & ((np.arange(256) & 0xC0) != 0x80)
 RULES: dict[str, Column | str] = {
     "few_words": "n_words < 50",
     "repeated_words": "100 * n_repeat_words > 50 * n_words",
-    "symbols": "10 * n_symbols > 5 * n_words",
-    "repeated_lines": "100 * n_dup_lines > 30 * n_lines",
+    "symbols": "10 * n_symbols > 3 * n_words",
+    "repeated_lines": "n_dup_lines >= 2 and 2 * n_dup_lines > n_lines",
     "short_words": "word_chars < 2 * n_words",
     "long_words": "word_chars > 15 * n_words",
     "capitals": "n_letters > 0 and 100 * n_upper > 50 * n_letters",

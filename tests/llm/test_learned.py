@@ -71,6 +71,7 @@ def test_main_text():
     want = ("Big <news> The first paragraph of the article has some words éé in it, more than a few. Short one. "
             "The last paragraph tells how it all ended and who was there.")
     assert html.main_text(PAGE, html.trained()) == want
+    assert html.main_text(PAGE.replace("<body>", "<body class='with-sidebar header-fixed'>"), html.trained()) == want
     for i in range(0, len(PAGE), 7):  # cut anywhere
         html.main_text(PAGE[:i], html.trained())
 
