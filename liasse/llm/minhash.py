@@ -37,12 +37,13 @@ from liasse.session import staged
 
 BANDS = 32
 ROWS = 4
+SLOTS = 512
 SIMILARITY = 0.8
-MARGIN = 0.1
+MARGIN = 0.05
 _ONE = np.uint64(1)
 
 
-def signature(keys: np.ndarray, weights: np.ndarray, slots: int = BANDS * ROWS) -> np.ndarray:
+def signature(keys: np.ndarray, weights: np.ndarray, slots: int = SLOTS) -> np.ndarray:
     """The winning shingle of every slot (a power of two up to 2048); ``keys`` must not be empty."""
     first, winner = np.full(slots, np.inf), np.zeros(slots, np.uint64)
     last, live, step = np.zeros(keys.size), np.arange(keys.size), 0
@@ -86,23 +87,44 @@ def text_key(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
 
 
-def sketches(docs: DataFrame, text: str = "text", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, text key, signature (32 bits per slot) and band hashes of every row; both empty for texts without words."""
+def sketches(docs: DataFrame, text: str = "text", bands: int = BANDS, rows: int = ROWS, slots: int = SLOTS) -> DataFrame:
+    """doc_id, text key, band hashes and signature of every row; both empty for texts without words.
+
+    Bands take the first bands x rows slots whole; the signature keeps one
+    byte of every slot, eight in a number.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mult = sh.mix(np.arange(rows, dtype=np.uint64) + np.uint64(7))
+        none = np.empty(0, np.int64)
+        lists = lambda parts: pa.ListArray.from_arrays(
+            pa.array(np.cumsum([0, *map(len, parts)]).astype(np.int32)), pa.array(np.concatenate([none, *parts])))
         for batch in batches:
-            out = [signature(*sh.weighted(found), bands * rows).astype(np.uint32).view(np.int32) if found.size else np.empty(0, np.int32)
-                   for found in sh.column_shingles(batch.column("_words"))]
-            sizes = np.cumsum([0, *map(len, out)]).astype(np.int32)
-            flat = np.concatenate([np.empty(0, np.int32), *out])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("text_key"), pa.ListArray.from_arrays(pa.array(sizes), pa.array(flat))],
-                ["doc_id", "text_key", "sig"])
+            banded, sigs = [], []
+            for found in sh.column_shingles(batch.column("_words")):
+                if found.size:
+                    win = signature(*sh.weighted(found), slots)
+                    banded.append(sh.mix((win[: bands * rows].reshape(bands, rows) * mult).sum(axis=1)).view(np.int64))
+                    sigs.append(win.astype(np.uint8).view(np.int64))
+                else:
+                    banded.append(none)
+                    sigs.append(none)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), lists(banded), lists(sigs)],
+                                             ["doc_id", "text_key", "bands", "sig"])
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col(text)).alias("text_key"), sh.plain_words(F.col(text)).alias("_words"))
-    drawn = map_batches(narrow, run, "doc_id long, text_key binary, sig array<int>")
-    hashes = F.array(*[F.xxhash64(F.lit(i), F.slice("sig", i * rows + 1, rows)) for i in range(bands)])
-    return drawn.withColumn("bands", F.when(F.size("sig") > 0, hashes).otherwise(F.array().cast("array<bigint>")))
+    return map_batches(narrow, run, "doc_id long, text_key binary, bands array<long>, sig array<long>")
+
+
+def differing(a: Column, b: Column, slots: int = SLOTS) -> Column:
+    """How many slots of two signatures differ: the bits of every differing byte are folded onto its lowest one."""
+    total = F.lit(0)
+    for i in range(slots // 8):
+        t = a[i].bitwiseXOR(b[i])
+        for by in (4, 2, 1):
+            t = t.bitwiseOR(F.shiftrightunsigned(t, by))
+        total = total + F.bit_count(t.bitwiseAND(F.lit(0x0101010101010101)))
+    return total
 
 
 def texts_of(pairs: DataFrame, docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -166,7 +188,7 @@ def components(links: DataFrame) -> DataFrame:
     return roots
 
 
-def _meetings(buckets: DataFrame, near: DataFrame, roots: DataFrame, one: DataFrame, threshold: float, margin: float) -> DataFrame:
+def _meetings(buckets: DataFrame, near: DataFrame, roots: DataFrame, one: DataFrame, threshold: float, margin: float, slots: int) -> DataFrame:
     """Pairs of a band that are still in different groups and may be similar, each from the first band it shares.
 
     Per band the largest group stays whole; texts outside it meet the others
@@ -185,24 +207,23 @@ def _meetings(buckets: DataFrame, near: DataFrame, roots: DataFrame, one: DataFr
         "band", "no", F.col("node").alias("x"), F.col("root").alias("xr"), F.col("far").alias("xf"), F.col("sig").alias("xs"), F.col("bands").alias("xb"))
     other = sides.select(
         "band", "main", F.col("node").alias("y"), F.col("root").alias("yr"), F.col("far").alias("yf"), F.col("sig").alias("ys"), F.col("bands").alias("yb"))
-    agreed = F.aggregate(F.zip_with("xs", "ys", lambda p, q: (p == q).cast("int")), F.lit(0), lambda n, e: n + e)
     first = F.array_position(F.zip_with("xb", "yb", lambda p, q: p == q), True)
     met = side.join(other, "band").filter(
         (F.col("xr") != F.col("yr")) & (F.abs(F.col("xf") - F.col("yf")) <= 1 - threshold + 1e-9)
         & ((F.col("yr") == F.col("main")) | (F.col("x") < F.col("y")))
-        & (agreed >= F.size("xs") * (threshold - margin)) & (first == F.col("no") + 1))
+        & (differing(F.col("xs"), F.col("ys"), slots) <= slots * (1 - threshold + margin)) & (first == F.col("no") + 1))
     return met.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", bands: int = BANDS, rows: int = ROWS, threshold: float = SIMILARITY,
-                    margin: float = MARGIN) -> DataFrame:
+                    margin: float = MARGIN, slots: int = SLOTS) -> DataFrame:
     """doc_id, text_key, copy_id, class_id: one row for each row of ``docs``.
 
     ``class_id`` is the smallest doc_id of the group, ``copy_id`` the smallest
     one among equal texts.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
-    drawn = staged(sketches(base, "text", bands, rows))
+    drawn = staged(sketches(base, "text", bands, rows, slots))
     ids = staged(drawn.groupBy("text_key").agg(F.min("doc_id").alias("copy_id")))
     one = drawn.join(ids.withColumnRenamed("copy_id", "_id"), "text_key").filter(F.col("doc_id").eqNullSafe(F.col("_id")))
     one = staged(one.dropDuplicates(["text_key"]).select("text_key", "sig", "bands"))
@@ -214,7 +235,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", bands: int = BANDS, row
     near = staged(verified(star, texts))
     links = near.filter(F.col("similarity") >= threshold)
     roots = components(links)
-    more = staged(verified(staged(_meetings(buckets, near, roots, one, threshold, margin)), texts)).filter(F.col("similarity") >= threshold)
+    more = staged(verified(staged(_meetings(buckets, near, roots, one, threshold, margin, slots)), texts)).filter(F.col("similarity") >= threshold)
     if not more.isEmpty():
         links = links.unionByName(more)
         roots = components(links)

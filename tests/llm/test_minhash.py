@@ -126,3 +126,11 @@ def test_odd_input(spark):
     assert ids == sorted(map(str, [1, 3, 5, 6, None, 8, 9, 10, 11, 12]))
     empty = docs.filter(F.lit(False))
     assert minhash.near_duplicates(empty).count() == 0 and minhash.keep_one(empty).count() == 0
+
+
+def test_differing_slots_are_counted(spark):
+    rng = np.random.default_rng(5)
+    a = rng.integers(0, 256, 512).astype(np.uint8)
+    b = np.where(rng.random(512) < 0.3, rng.integers(0, 256, 512), a).astype(np.uint8)
+    df = spark.createDataFrame([(a.view(np.int64).tolist(), b.view(np.int64).tolist())], "a array<long>, b array<long>")
+    assert df.select(minhash.differing(F.col("a"), F.col("b"))).first()[0] == int((a != b).sum())
