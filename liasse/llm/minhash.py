@@ -18,8 +18,8 @@ verified from ``SIMILARITY - MARGIN`` on, which a pair of just that similarity
 misses once in about 500 cases, more similar ones far less often.
 
 Results for odd input: null text counts as empty; equal texts always form one
-group, texts without words no other; null or repeated ids are kept row by row;
-an empty table gives an empty table. Extra columns are ignored.
+group, texts without words no other; null or repeated ids are kept row by row
+and join no groups, only the texts do; an empty table gives an empty table. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -217,10 +217,11 @@ def _meetings(buckets: DataFrame, near: DataFrame, roots: DataFrame, one: DataFr
 
 def near_duplicates(docs: DataFrame, text: str = "text", bands: int = BANDS, rows: int = ROWS, threshold: float = SIMILARITY,
                     margin: float = MARGIN, slots: int = SLOTS) -> DataFrame:
-    """doc_id, text_key, copy_id, class_id: one row for each row of ``docs``.
+    """doc_id, text_key, copy_id, root, class_id: one row for each row of ``docs``.
 
-    ``class_id`` is the smallest doc_id of the group, ``copy_id`` the smallest
-    one among equal texts.
+    ``root`` is the text key that names the group. ``class_id`` is the smallest
+    doc_id of the group, ``copy_id`` the smallest one among equal texts; both
+    are null where all ids are, and several groups may have the same.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
     drawn = staged(sketches(base, "text", bands, rows, slots))
@@ -243,13 +244,13 @@ def near_duplicates(docs: DataFrame, text: str = "text", bands: int = BANDS, row
                     .select("text_key", "copy_id", F.coalesce("root", "text_key").alias("root")))
     tops = placed.groupBy("root").agg(F.min("copy_id").alias("class_id"))
     return (drawn.select("doc_id", "text_key").join(placed.join(tops, "root"), "text_key")
-            .select("doc_id", "text_key", "copy_id", "class_id"))
+            .select("doc_id", "text_key", "copy_id", "root", "class_id"))
 
 
 def keep_one(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     """``docs`` with one row of each near-duplicate group: that of the smallest doc_id."""
     found = near_duplicates(docs, text, **options)
-    first = found.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("class_id", "doc_id").agg(
+    first = found.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("root", "doc_id").agg(
         F.min("text_key").alias("key"), F.count(F.lit(1)).alias("n"))
     chosen = staged(first.select(F.col("doc_id").alias("id"), "key", "n"))
     # the rows travel whole, so that no column of theirs can clash

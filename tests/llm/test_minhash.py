@@ -128,6 +128,17 @@ def test_odd_input(spark):
     assert minhash.near_duplicates(empty).count() == 0 and minhash.keep_one(empty).count() == 0
 
 
+def test_ids_join_no_groups(spark):
+    own = lambda k: " ".join(f"{k}{i}" for i in range(30))
+    rows = [(1, own("a")), (1, own("b")), (2, own("a")), (None, own("c")), (None, own("d")), (None, own("e")), (None, own("e")), (None, own("b"))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = minhash.near_duplicates(df).collect()
+    assert len(found) == len(rows) and len({bytes(r["root"]) for r in found}) == 5
+    assert len({(bytes(r["root"]), bytes(r["text_key"])) for r in found}) == 5
+    kept = [tuple(r) for r in minhash.keep_one(df).collect()]
+    assert sorted(kept, key=str) == sorted([rows[i] for i in (0, 1, 3, 4, 5)], key=str)
+
+
 def test_differing_slots_are_counted(spark):
     rng = np.random.default_rng(5)
     a = rng.integers(0, 256, 512).astype(np.uint8)
