@@ -14,8 +14,9 @@ groups, and only texts of a band which are still in different groups meet
 afterwards. Those meetings are pruned by the triangle inequality, which the
 distance (1 - probability Jaccard) obeys, with the known distances to the
 pivot, and by the share of slots on which the signatures agree: a pair is
-verified from ``SIMILARITY - MARGIN`` on, which a pair of just that similarity
-misses once in about 500 cases, more similar ones far less often.
+verified from ``SIMILARITY - MARGIN`` on. A pair of just that similarity fails
+to share a band in 4.7e-8 of all cases and falls below the margin in 3.9e-8,
+so the prune loses no more than the bands do.
 
 Results for odd input: null text counts as empty; equal texts always form one
 group, texts without words no other; null or repeated ids are kept row by row
@@ -39,7 +40,7 @@ BANDS = 32
 ROWS = 4
 SLOTS = 512
 SIMILARITY = 0.8
-MARGIN = 0.05
+MARGIN = 0.1
 _ONE = np.uint64(1)
 
 

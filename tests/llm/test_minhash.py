@@ -1,3 +1,4 @@
+import math
 import re
 
 import numpy as np
@@ -128,6 +129,27 @@ def test_odd_input(spark):
     assert minhash.near_duplicates(empty).count() == 0 and minhash.keep_one(empty).count() == 0
 
 
+def test_the_prune_loses_no_more_than_the_bands():
+    n, p = minhash.SLOTS, minhash.SIMILARITY
+    least = math.ceil(n * (p - minhash.MARGIN) - 1e-9)  # agreeing slots that a pair needs to be verified
+    lost = sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(least))
+    assert lost <= (1 - p**minhash.ROWS) ** minhash.BANDS
+
+
+def test_pairs_within_the_margin_meet(spark):
+    sig = np.zeros(512, np.uint8)
+    off = sig.copy()
+    off[:150] = 1  # agree on 362 of 512 slots
+    keys = [b"p", b"x", b"y"]
+    buckets = spark.createDataFrame([(0, 5, k, b"p") for k in keys], "no int, band long, node binary, pivot binary")
+    near = spark.createDataFrame([(b"x", b"p", 0.79), (b"y", b"p", 0.79)], "a binary, b binary, similarity double")
+    roots = spark.createDataFrame([], "node binary, root binary")
+    one = spark.createDataFrame([(k, s.view(np.int64).tolist(), [5]) for k, s in zip(keys, (sig, sig, off), strict=True)],
+                                "text_key binary, sig array<long>, bands array<long>")
+    met = minhash._meetings(buckets, near, roots, one, minhash.SIMILARITY, minhash.MARGIN, minhash.SLOTS).collect()
+    assert [(bytes(r["a"]), bytes(r["b"])) for r in met] == [(b"y", b"x")]
+
+
 def test_ids_join_no_groups(spark):
     own = lambda k: " ".join(f"{k}{i}" for i in range(30))
     rows = [(1, own("a")), (1, own("b")), (2, own("a")), (None, own("c")), (None, own("d")), (None, own("e")), (None, own("e")), (None, own("b"))]
