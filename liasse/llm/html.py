@@ -3,7 +3,8 @@
 A page is cut into blocks of text at block-level tags. A block has its word
 count, its link density (share of words inside links) and the marks of the
 elements around it (navigation and the like, article and the like, or none);
-it also sees the counts and densities of its two neighbours. A decision tree
+an article takes off the mark of a wrapper, not that of a list of remarks or
+teasers, and a form around the page marks nothing; it also sees the counts and densities of its two neighbours. A decision tree
 on these eight numbers says which blocks are main text. The tree is grown on
 the labelled blocks of ``labelled_pages.html``, a small file beside this
 module, with Gini splits.
@@ -20,6 +21,7 @@ table gives an empty one.
 
 from __future__ import annotations
 
+import bisect
 import functools
 import html
 import re
@@ -45,13 +47,25 @@ SILENT = set("script style noscript template head title svg math canvas iframe o
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
 AROUND = set("nav footer aside form dialog menu header".split())
 MAIN = set("article main".split())
-#: Words in class, id and role that name what stands around a text.
-AROUND_WORDS = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert|advertisement|adsense|banner|sponsor|sponsored|promo|promotion|sidebar|side|rail|widget|nav|navbar|navigation|menu|"
-    r"breadcrumb|breadcrumbs|header|masthead|footer|cookie|cookies|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|signup|login|search|"
-    r"share|sharing|social|related|recommended|comment|comments|disqus|reply|replies|respond|pagination|pager|toolbar|copyright|legal|contentinfo|"
-    r"complementary|hidden)(?:$|[\s_-])", re.I)
-MAIN_WORDS = re.compile(r"(?:^|[\s_-])(?:article|article-body|post-body|post-content|entry-content|story-body|main-content)(?:$|[\s_-])", re.I)
+#: Words of names in class, id and role that tell what stands around a text.
+AROUND_WORDS = set(
+    "ad ads advert advertisement adsense banner sponsor sponsored promo promotion sidebar side rail widget nav navbar navigation menu breadcrumb breadcrumbs header "
+    "masthead footer cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe signup login search share sharing social related recommended "
+    "comment comments disqus reply replies respond pagination pager toolbar copyright legal contentinfo complementary hidden".split())
+#: Words that only say which or where; a name of others too (has-sidebar, comments-open) tells of a state or a layout.
+PLAIN_WORDS = set(
+    "site global main top bottom left right primary secondary first second third inner outer area bar block box container wrap wrapper section panel list item items "
+    "link links button buttons group form text thread unit slot".split())
+#: Words for texts; a header of one (entry-header) holds its title.
+TEXT_WORDS = set("article articles entry entries page post posts story stories".split())
+HEADER_WORDS = set("header banner masthead".split())
+#: What holds remarks, teasers or hidden text in article elements of their own.
+CARDS = set("nav footer aside dialog menu".split())
+CARD_WORDS = set("related recommended comment comments disqus reply replies respond hidden".split())
+MAIN_NAMES = set("article article-body post-body post-content entry-content story-body main-content".split())
+#: Elements that a form which sends something doesn't hold, but one around the page does.
+_LANDMARK = re.compile(r"<(?:article|main|h1|nav|aside|header|footer)\b|\brole\s*=\s*[\"']?(?:main|article)\b", re.I)
+_FORM_END = re.compile(r"</form\b", re.I)
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|data-keep)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
@@ -73,14 +87,41 @@ class Block:
         return self.linked / self.words if self.words else 0.0
 
 
-def _mark(tag: str, attributes: dict[str, str], inside_main: bool) -> int:
-    """-1: stands around the text, 1: article and the like, 0: says nothing. Names on the whole page tell what it holds, not what it is."""
+def _around(name: str) -> set[str]:
+    """The words of a name which tell that it stands around a text; none if it also tells something else."""
+    words = [w for w in re.split(r"[-_]+", name.lower()) if w and not w.isdigit()]
+    hits = AROUND_WORDS.intersection(words)
+    if hits <= HEADER_WORDS and TEXT_WORDS.intersection(words):
+        return set()
+    return hits if all(w in hits or w in PLAIN_WORDS or w in TEXT_WORDS for w in words) else set()
+
+
+def _mark(tag: str, attributes: dict[str, str], above: int, around_page: bool) -> int:
+    """-1: stands around the text, -2: so do articles inside it, 1: article and the like, 0: says nothing.
+
+    ``above``: the mark of what encloses it; ``around_page``: a form that holds the parts of a page. Names
+    on the whole page tell what it holds, not what it is; those of an article, what belongs to it.
+    """
     if tag in ("html", "body"):
         return 0
-    named = " ".join(attributes.get(k, "") for k in ("class", "id", "role"))
-    if tag in AROUND and not (tag == "header" and inside_main) or "hidden" in attributes or AROUND_WORDS.search(named):
-        return -1
-    return 1 if tag in MAIN or MAIN_WORDS.search(named) else 0
+    role = attributes.get("role", "").lower().split()
+    names = [n for k in ("class", "id") for n in attributes.get(k, "").split()] + role
+    if "hidden" in attributes:
+        own = -2
+    elif tag in MAIN or "main" in role or MAIN_NAMES.intersection(n.lower() for n in names):
+        own = 1
+    else:
+        hits = set().union(*map(_around, names))
+        titled = tag == "header" and (above == 1 or any(TEXT_WORDS.intersection(re.split(r"[-_]+", n.lower())) for n in names))
+        if tag in CARDS or hits & CARD_WORDS:
+            own = -2
+        else:
+            own = -1 if hits or tag in AROUND and not titled and not around_page else 0
+    if above == -2:
+        return 1 if own == 1 and (tag == "main" or "main" in role) else -2
+    if above == -1:
+        return own or -1
+    return own or above
 
 
 def blocks(page: str) -> list[Block]:
@@ -88,6 +129,8 @@ def blocks(page: str) -> list[Block]:
     out: list[Block] = []
     parts: list[tuple[str, bool]] = []
     open_tags: list[tuple[str, int, bool, str | None]] = [("", 0, False, None)]  # tag, mark, silent, label
+    ends: list[int] | None = None  # of forms and, below, the page's landmarks; both are looked for at the first form
+    landmarks: list[int] = []
 
     def end_block() -> None:
         # references are decoded over the joined parts, so that the tags between them don't matter
@@ -96,7 +139,7 @@ def blocks(page: str) -> list[Block]:
             linked = sum(len(_WORD.findall(t)) for t, link in parts if link)
             words = text.count(" ") + 1
             heading = int(any(re.fullmatch(r"h[1-6]", t[0]) for t in open_tags))
-            out.append(Block(text, words, min(linked, words), open_tags[-1][1], heading, open_tags[-1][3]))
+            out.append(Block(text, words, min(linked, words), max(open_tags[-1][1], -1), heading, open_tags[-1][3]))
         parts.clear()
 
     def hear(text: str) -> None:
@@ -131,8 +174,14 @@ def blocks(page: str) -> list[Block]:
             _close_implied(tag, open_tags)
         above = open_tags[-1]
         attributes = {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(m[3])}
-        own = _mark(tag, attributes, above[1] == 1)
-        open_tags.append((tag, -1 if above[1] == -1 else own or above[1], above[2] or tag in SILENT, attributes.get("data-keep", above[3])))
+        around_page = False
+        if tag == "form":
+            if ends is None:
+                ends, landmarks = ([x.start() for x in p.finditer(page)] for p in (_FORM_END, _LANDMARK))
+                ends.append(len(page))
+            end = ends[bisect.bisect_left(ends, at)]
+            around_page = bisect.bisect_left(landmarks, at) < bisect.bisect_left(landmarks, end)
+        open_tags.append((tag, _mark(tag, attributes, above[1], around_page), above[2] or tag in SILENT, attributes.get("data-keep", above[3])))
     hear(page[at:] if not page[at:].lstrip().startswith("<") else "")
     end_block()
     return out

@@ -76,6 +76,21 @@ def test_main_text():
         html.main_text(PAGE[:i], html.trained())
 
 
+def test_wrappers_and_states_hide_no_article():
+    title, first, last = "A bridge for the ferry road", "The old ferry stops in autumn, and a bridge of larch wood takes its place until spring.", "Nobody has to pay for it."
+    body = f"<h1>{title}</h1><p>{first}</p><p>{last}</p>"
+    want, tree = f"{title} {first} {last}", html.trained()
+    remark = "<div id=comments><article class=comment><p>I have crossed with this ferry every day for the past forty years.</p></article></div>"
+    for page in (f"<div class='page has-sidebar'><article>{body}</article>{remark}</div>", f"<article class='post comments-open'>{body}</article>{remark}",
+                 f"<form id='aspnetForm'><article>{body}</article></form>", f"<form id='aspnetForm'><div>{body}</div></form>", f"<div class='overlay'><main>{body}</main></div>",
+                 f"<article><header class='entry-header'><h1>{title}</h1></header><p>{first}</p><p>{last}</p></article>",
+                 f"<div class='post'><header class='entry-header'><h1>{title}</h1></header><p>{first}</p><p>{last}</p></div>"):
+        assert html.main_text(f"<html><body>{page}</body></html>", tree) == want, page
+    for page in ("<div class='sidebar widget-2'>{}</div>", "<div id=cookie-notice>{}</div>", "<ol class=comment-list><li>{}</ol>", "<aside><article>{}</article></aside>", "<form action=/send>{}</form>",
+                 "<div class='related-posts'><article>{}</article></div>", "<div hidden><article>{}</article></div>"):
+        assert html.main_text(page.format(f"<p>{first}</p>"), tree) == "", page
+
+
 def test_pages_of_odd_input(spark):
     rows = [(1, "u", PAGE), (2, None, None), (3, "u", ""), (None, "u", "<p"), (4, "u", "<p>" + "many words in one long page " * 50_000), (1, "u", PAGE), (5, "u", "plain text without a tag at all, but long enough")]
     got = html.report(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
