@@ -242,8 +242,8 @@ def phone_report_hits(hits: DataFrame) -> DataFrame:
 # --- theme summaries -------------------------------------------------------------------------
 
 
-def summarize_theme(occ: DataFrame, by: Sequence[str] = (), limit: int = 40) -> DataFrame:
-    """The most frequent items of each theme with a badge and their first four places."""
+def summarize_theme(occ: DataFrame, by: Sequence[str] = (), limit: int | None = None) -> DataFrame:
+    """The items of each theme, most frequent first (all, or ``limit`` of them), with a badge and their first four places."""
     items = aggregate_entities(occ, by)
     group = ["case_id", *by, "kind"]
     top = first_rows(items, group, [F.desc("n_occurrences"), "first_chunk", "value"], limit, rank="item_rank")
@@ -258,7 +258,7 @@ def summarize_theme(occ: DataFrame, by: Sequence[str] = (), limit: int = 40) ->
         "line", F.concat(F.lit("- "), F.col("value"), F.lit(" ("), F.col("badge"), F.lit(") — "), F.col("places")))
 
 
-def technical_panel(chunks: DataFrame, persons: DataFrame, limit: int = 40) -> DataFrame:
+def technical_panel(chunks: DataFrame, persons: DataFrame, limit: int | None = None) -> DataFrame:
     """Eight themes side by side: phones for the whole case, the others per person and strict.
 
     One scan finds all kinds. Phone rows carry a null person_id: they hold for

@@ -28,8 +28,9 @@ def person_profile(chunks: DataFrame, persons: DataFrame, search=None, fallback_
         home = people.with_fallback(home, persons, search, rules.ADDRESS_QUERY, 40, fallback_limit)
     facts = evidence.evidence_stats(evidence.dedup_evidence(evidence.classify_evidence(wide)))
     counts = lambda df, name: df.groupBy(*PERSON).agg(F.count(F.lit(1)).alias(name))
-    panel = entities.technical_panel(chunks, persons).filter("person_id is not null").groupBy(*PERSON).agg(
-        F.count(F.lit(1)).alias("n_technical"))
+    kinds = [k for k in dict.fromkeys(rules.THEMES.values()) if k != "phone"]  # phones hold for the whole case
+    linked = entities.link_person(entities.extract_entities(chunks, kinds), persons)
+    panel = counts(entities.aggregate_entities(linked, ["person_id"]), "n_technical")
     out = persons.select(*PERSON, "name")
     parts = [counts(civil, "n_civil"), counts(wide, "n_global"), facts,
              people.birth_info(civil), people.address_vote(home), panel]

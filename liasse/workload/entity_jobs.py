@@ -85,6 +85,11 @@ def phone_report_hits(spark, d):
 
 
 def theme_summary(spark, d):
+    occ = E.extract_entities(b.document_chunks(spark, d), ["email", "ip", "telegram"])
+    return E.summarize_theme(occ, limit=40).select("case_id", "kind", "item_rank", "line")
+
+
+def theme_summary_all(spark, d):
     occ = E.extract_entities(b.document_chunks(spark, d), ["email", "ip", "telegram"])
     return E.summarize_theme(occ).select("case_id", "kind", "item_rank", "line")
 
@@ -100,7 +105,7 @@ QUERIES = {
     "case_snapchat": _case_theme("snapchat"),
     "linked_counts": linked_counts, "linked_pairs": linked_pairs, "linked_pairs_grams": linked_pairs_grams, "strict_items": strict_items,
     "phone_role_scores": phone_role_scores, "phone_roles": phone_roles, "phone_lookup": phone_lookup, "phone_report": phone_report,
-    "phone_report_hits": phone_report_hits, "theme_summary": theme_summary, "technical_panel": technical_panel,
+    "phone_report_hits": phone_report_hits, "theme_summary": theme_summary, "theme_summary_all": theme_summary_all, "technical_panel": technical_panel,
 }
 
 _EMAIL = r"\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b"
@@ -218,3 +223,4 @@ i AS (SELECT case_id, kind, value, count(*) AS n, min(doc_id) AS fc, array_to_st
 SELECT case_id, kind, row_number() OVER (PARTITION BY case_id, kind ORDER BY n DESC, fc, value) AS item_rank,
   concat('- ', value, ' (mentionné) — ', places) AS line FROM i QUALIFY item_rank <= 40""",
 }
+ORACLE["theme_summary_all"] = ORACLE["theme_summary"].replace(" QUALIFY item_rank <= 40", "")

@@ -76,14 +76,18 @@ def fact_timeline(spark, d):
     return V.fact_timeline(_classified(spark, d)).select("person_id", "kind", "value", "chunk_ord", "event_date", F.col("event_ts").cast("string").alias("event_ts"))
 
 
-def sentence_rows(spark, d):
-    rows, _ = V.sentence_analysis(b.case_chunks(spark, d), b.persons(spark, d))
-    return rows.select("person_id", "row", "chunk_ord", "status", F.md5("label").alias("digest"))
+def _sentence_rows(limit):
+    def run(spark, d):
+        rows, _ = V.sentence_analysis(b.case_chunks(spark, d), b.persons(spark, d), row_limit=limit)
+        return rows.select("person_id", "row", "chunk_ord", "status", F.md5("label").alias("digest"))
+    return run
 
 
-def sentence_events(spark, d):
-    _, events = V.sentence_analysis(b.case_chunks(spark, d), b.persons(spark, d))
-    return events.select("person_id", "row", "date", "kind", F.md5("event").alias("digest"))
+def _sentence_events(limit):
+    def run(spark, d):
+        _, events = V.sentence_analysis(b.case_chunks(spark, d), b.persons(spark, d), event_limit=limit)
+        return events.select("person_id", "row", "date", "kind", F.md5("event").alias("digest"))
+    return run
 
 
 def profiles(spark, d):
@@ -96,7 +100,8 @@ QUERIES = {
     "global_snippets": _snips("global_snippets", 80), "address_snippets": _snips("address_snippets", 20),
     "fallback_snippets": fallback_snippets, "evidence_rows": evidence_rows, "evidence_counts": evidence_counts,
     "birth_info": birth_info, "address_vote": address_vote, "charge_classes": charge_classes, "bucket_summary": bucket_summary,
-    "fact_timeline": fact_timeline, "sentence_rows": sentence_rows, "sentence_events": sentence_events, "person_profiles": profiles,
+    "fact_timeline": fact_timeline, "sentence_rows": _sentence_rows(40), "sentence_events": _sentence_events(120),
+    "sentence_rows_all": _sentence_rows(None), "sentence_events_all": _sentence_events(None), "person_profiles": profiles,
 }
 
 
@@ -226,3 +231,5 @@ WITH RECURSIVE {duck.CASE}, {duck.PERSONS}, {_SENT},
 u AS (SELECT * FROM ps WHERE date IS NOT NULL QUALIFY row_number() OVER (PARTITION BY person_id, date, f ORDER BY page, n) = 1)
 SELECT person_id, row_number() OVER (PARTITION BY person_id ORDER BY page, n) AS row, date, kind, md5(s) AS digest FROM u QUALIFY row <= 120""",
 }
+ORACLE["sentence_rows_all"] = ORACLE["sentence_rows"].replace(" QUALIFY row <= 40", "")
+ORACLE["sentence_events_all"] = ORACLE["sentence_events"].replace(" QUALIFY row <= 120", "")

@@ -1,6 +1,8 @@
 from pyspark.sql import functions as F
 
 from liasse.operators import entities as E
+from liasse.operators import evidence as V
+from liasse.plans.profile import person_profile
 
 CHUNK = "case_id string, source string, page int, chunk_ord bigint, text string"
 
@@ -89,3 +91,15 @@ def test_unknown_theme(spark):
     assert E.scan_theme(chunks(spark, ["a@b.fr"]), None, "nothing").count() == 0
     assert E.scan_theme(chunks(spark, ["AB-123-CD"]), None, "plaques").count() == 1
     assert F is not None
+
+
+def test_counts_and_lists_have_no_hidden_limit(spark):
+    texts = [f"Jean Dupont a{i:02d}@b.fr" for i in range(45)]
+    ch, who = chunks(spark, texts), persons(spark, ["Jean Dupont"])
+    assert person_profile(ch, who).first()["n_technical"] == 45 + E.technical_panel(ch, who).filter("kind <> 'email' and person_id is not null").count()
+    assert E.technical_panel(ch, who).filter("kind = 'email'").count() == 45
+    assert E.summarize_theme(E.extract_entities(ch, ["email"])).count() == 45
+    assert E.summarize_theme(E.extract_entities(ch, ["email"]), limit=40).count() == 40
+    said = spark.createDataFrame([("c", 0, f"s{i}", i, i, 0, f"phrase {i}", f"phrase {i}", "neutre", "2020-01-01") for i in range(130)],
+                                 "case_id string, person_id bigint, source string, page int, chunk_ord bigint, sent_no int, sentence string, folded string, kind string, date string")
+    assert V.sentence_rows(said).count() == V.sentence_events(said).count() == 130
