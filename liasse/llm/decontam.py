@@ -15,11 +15,13 @@ Nothing is shuffled: the benchmark goes to the documents, in blocks of
 
 SimHash takes single words: two windows whose five-word shingles have a
 Jaccard of 0.8 differ in few words, and each word moves each bit's sum by one.
-``RADIUS`` covers windows in which up to about a fifth of the words differ;
-the tests compare with brute force over all windows.
+``RADIUS`` covers windows in which up to about a fifth of the words differ, but
+not surely: by a reviewer's simulation 5e-5 to 1.5e-4 of the windows of 40 to
+200 words with the most changed words at their edges differ in more bits. The
+tests compare with brute force over all windows.
 
 Results for odd input: null texts count as empty and hold no passage; items
-without words are left out; items shorter than a shingle are one shingle;
+without words are left out, those without an id are reported as null; items shorter than a shingle are one shingle;
 equal items are each reported; repeated rows are kept; empty tables give no
 passages and keep every document.
 """
@@ -146,10 +148,10 @@ class Benchmark:
                         found[group.ids[item]] = best
 
 
-def _item_blocks(benchmark: DataFrame, item: str, text: str) -> Iterator[list[tuple[int, np.ndarray]]]:
+def _item_blocks(benchmark: DataFrame, item: str, text: str) -> Iterator[list[tuple[int | None, np.ndarray]]]:
     """The items as word hashes, in blocks of a bounded number of shingles."""
     rows, held = [], 0
-    spark_rows = benchmark.select(F.col(item).cast("long").alias("i"), sh.plain_words(F.col(text)).alias("t")).filter("i is not null and trim(t) <> ''")
+    spark_rows = benchmark.select(F.col(item).cast("long").alias("i"), sh.plain_words(F.col(text)).alias("t")).filter("trim(t) <> ''")
     for row in spark_rows.toLocalIterator():
         words, _ = sh.hashed_words(pa.array([row["t"]]))
         if rows and held + words.size > BLOCK_SHINGLES:

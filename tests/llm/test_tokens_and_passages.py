@@ -117,3 +117,12 @@ def test_plain_words_are_the_same_here_and_there(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string").select(sh.plain_words(F.col("t")).alias("p"))
     assert [r["p"].split() for r in df.collect()][0] == ["ab_c", "d", "é", "12", "x"]
     assert re.fullmatch(r" ", df.collect()[1]["p"])
+
+
+def test_items_without_an_id_contaminate(spark):
+    passage = " ".join(f"p{i}" for i in range(30))
+    docs = spark.createDataFrame([(1, f"a b c {passage} d e"), (2, "nothing of the kind is in here")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, passage), (None, "another item that no text holds at all"), (4, passage)], "item_id long, text string")
+    got = {r["doc_id"]: r for r in decontam.report(docs, bench).collect()}
+    assert got[1]["contaminated"] and got[1]["item_ids"] == [4, None] and not got[2]["contaminated"]
+    assert [r["doc_id"] for r in decontam.clean(docs, bench.filter("item_id is null")).collect()] == [2]
