@@ -5,10 +5,11 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from liasse.llm import bpe, decontam, html, licenses, minhash, oracles, quality, rules, secrets, sharding, toxicity
+from liasse.llm import alignment, bpe, decontam, digest, html, licenses, minhash, oracles, phrases, quality, rules, secrets, sharding, toxicity
 from liasse.session import spread
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+ALIGNED_A, ALIGNED_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -56,6 +57,19 @@ def op10_toxicity(spark: SparkSession, d: str) -> DataFrame:
     return toxicity.classified(_table(spark, d, "documents"), _table(spark, d, "labels"))
 
 
+def op11_phrases(spark: SparkSession, d: str) -> DataFrame:
+    return phrases.collocations(_table(spark, d, "documents"))
+
+
+def op12_digest(spark: SparkSession, d: str) -> DataFrame:
+    return digest.compared_with_next(_table(spark, d, "documents"))
+
+
+def op13_alignment(spark: SparkSession, d: str) -> DataFrame:
+    models = (alignment.read_model(public_tokenizers.path(name)) for name in (ALIGNED_A, ALIGNED_B))
+    return alignment.report(_table(spark, d, "documents"), *models)
+
+
 QUERIES = {f.__name__: f for f in (op1_secrets, op2_licenses, op3_minhash, op4_quality, op5_bpe, op6_decontamination, op7_rules,
-                                   op8_sharding, op9_html, op10_toxicity)}
+                                   op8_sharding, op9_html, op10_toxicity, op11_phrases, op12_digest, op13_alignment)}
 ORACLE = oracles.ORACLE

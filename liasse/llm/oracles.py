@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from liasse.llm import licenses, rules, secrets
+from liasse.llm import licenses, phrases, rules, secrets
 
 _W = r"[^\x20\x09-\x0D]+"
 
@@ -98,4 +98,21 @@ per AS (SELECT r, count(*) AS n, list_sort(list_distinct(list(name))) AS names,
 SELECT doc_id, coalesce(n, 0) AS n_units, coalesce(array_to_string(names, ','), '') AS licenses, round(dice, 6)::DOUBLE AS dice
 FROM d LEFT JOIN per USING (r)"""
 
-ORACLE = {"op1_secrets": OP1, "op2_licenses": OP2, "op7_rules": OP7}
+OP11 = rf"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, list_filter(string_split_regex(x, '[ \t]+'), lambda w: w <> '') AS ws FROM (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS x FROM d)),
+n AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM p GROUP BY lang),
+g AS (SELECT lang, k, ws[i:i + k - 1] AS g, count(*) AS f FROM (
+  SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM p, (SELECT unnest([1, 2, 3]) AS k)) GROUP BY ALL),
+c AS (SELECT * FROM g WHERE k > 1 AND f >= {phrases.LEAST}),
+s AS (SELECT c.lang, c.g, c.k, c.f AS a, x.f AS l, y.f AS r, cut, {phrases.SCALE}::HUGEINT * c.f * c.f // (x.f::HUGEINT * y.f) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS cut FROM c) c
+  JOIN g x ON x.lang = c.lang AND x.g = c.g[1:cut] JOIN g y ON y.lang = c.lang AND y.g = c.g[cut + 1:]),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, cut) = 1),
+inner_ones AS (SELECT lang, unnest([g[1:2], g[2:3]]) AS g, f FROM c WHERE k = 3),
+ok AS (SELECT b.*, array_to_string(b.g, ' ') AS phrase FROM b WHERE NOT EXISTS (
+  SELECT 1 FROM inner_ones i WHERE i.lang = b.lang AND i.g = b.g AND 100 * i.f >= {phrases.CONTAINED} * b.a))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score::BIGINT AS score
+FROM ok JOIN n USING (lang) QUALIFY rank <= {phrases.TOP}"""
+
+ORACLE = {"op1_secrets": OP1, "op2_licenses": OP2, "op7_rules": OP7, "op11_phrases": OP11}
