@@ -9,6 +9,7 @@ from liasse import rules
 from liasse.functions.text import clean_ws, pack_chunks, sentences
 from liasse.operators import identity, segment
 from liasse.operators.segment import DOC
+from liasse.schemas import with_chunk_meta
 from liasse.session import staged
 from liasse.plans.ordering import capped_concat, name_block, page_block, running_total
 
@@ -94,6 +95,13 @@ def build_chunks(pages: DataFrame, base: DataFrame | None = None, staging: str |
     return number_chunks(staged(items, staging and f"{staging}/items"), base)
 
 
+def page_chunks(pages: DataFrame, base: DataFrame | None = None) -> DataFrame:
+    """Every page as one chunk, numbered on from ``base``; for texts that are cut already."""
+    named = [c for c in CHUNK_COLUMNS if c not in ("case_id", "source", "page", "chunk_ord", "local_chunk_id", "chunk_kind", "text", "is_unit_anchor", "is_fact")]
+    items = with_chunk_meta(pages).withColumn("items", _item("text", 0, "text"))
+    return number_chunks(items.select("case_id", "source", "page", *named, "items"), base)
+
+
 def chunk_pages(pages: DataFrame, size: int = rules.CHUNK_SIZE, overlap: int = rules.CHUNK_OVERLAP) -> DataFrame:
     """Plain text chunks of pages, with place in the page only: one scan, no shuffle."""
     packed = pack_chunks(sentences(F.coalesce("text", F.lit(""))), size, overlap)

@@ -1,10 +1,10 @@
 """Which texts contain which strings, for a few, many or very many strings.
 
 A few strings per case are packed and tested text by text. More of them are
-found by an equi-join: substrings on their rarest character gram, names on a
-word, then a check of the full string. The strings are broadcast only when
-they are counted and found to be few enough; beyond that the join shuffles
-keys, not texts.
+looked up by an automaton per case, as long as their bytes are under a stated
+bound. Beyond that they are found by an equi-join that shuffles keys, not
+texts: substrings on their rarest character gram, names on a word, then a
+check of the full string.
 """
 
 from __future__ import annotations
@@ -13,11 +13,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from liasse.plans import automaton
 
 FEW_PER_CASE = 64
 SMALL_SET = 100_000
 GRAM = 4
-LITERALS = 20_000
 
 
 def is_small(df: DataFrame, rows: int = SMALL_SET) -> bool:
@@ -51,15 +53,6 @@ def _grams(text: Column) -> Column:
     return F.filter(every, lambda g: F.length(g) == GRAM)
 
 
-def _only(keys_of_text: Column, patterns: DataFrame, key: str) -> Column:
-    """The grams or words of a text that any pattern has, where these are few enough to be written into the plan.
-
-    So a row is repeated for its hits only, not for all of its grams.
-    """
-    known = [r[0] for r in patterns.select(key).distinct().limit(LITERALS + 1).collect()]
-    return keys_of_text if len(known) > LITERALS else F.filter(keys_of_text, lambda k: k.isin(known))
-
-
 def _rarest_gram(patterns: DataFrame, keys: Sequence[str], pattern: str) -> DataFrame:
     """Each distinct string of a case with the gram that the fewest strings of the case share."""
     spread = patterns.select(*keys, pattern).distinct().select(*keys, pattern, F.explode(_grams(F.col(pattern))).alias("_gram"))
@@ -80,30 +73,26 @@ def contains_join(
     """Rows of ``texts`` joined to the rows of ``patterns`` that occur in them.
 
     Both columns must already be folded the same way. ``row_key`` identifies
-    a row of ``texts``. ``small`` overrides the size check.
+    a row of ``texts``. ``small`` False goes by the join.
     """
     patterns = patterns.filter(F.length(pattern) > 0)
     keep = [c for c in patterns.columns if c not in keys]
     test = lambda p: F.col(text).contains(p[pattern])
     if small is not False and _few(patterns, keys):
         return _scan(texts, patterns, keys, keep, test)
-    if small is None:
-        small = is_small(patterns)
     ids = list(dict.fromkeys([*row_key, *keys]))
     cols = [*texts.columns, *keep]
+    sent = None if small is False else automaton.shipped(patterns, [*keys, pattern])
+    if sent is not None:
+        table = automaton.grouped(sent.append_column("_v", sent.column(pattern)), keys, pattern, "_v")
+        hits = automaton.contained(texts, keys, text, table, "_hits", T.StringType()).withColumn(pattern, F.explode("_hits"))
+        return hits.join(patterns, [*keys, pattern]).select(*cols)
     long = patterns.join(_rarest_gram(patterns.filter(F.length(pattern) >= GRAM), keys, pattern), [*keys, pattern])
-    with_gram = lambda grams: F.explode(grams).alias("_gram")
     # strings shorter than a gram: few distinct ones exist, so match those and join their rows
     short = patterns.filter(F.length(pattern) < GRAM)
-    if small:
-        hits = texts.select("*", with_gram(_only(_grams(F.col(text)), long, "_gram"))).join(F.broadcast(long), [*keys, "_gram"])
-        found = hits.filter(F.col(text).contains(F.col(pattern))).select(*cols)
-        if short.isEmpty():
-            return found
-    else:
-        # equal keys once here: the join below brings back every row that has them
-        cand = texts.select(*ids, with_gram(_grams(F.col(text)))).distinct().join(long, [*keys, "_gram"]).select(*ids, *keep)
-        found = cand.join(texts, ids).filter(F.col(text).contains(F.col(pattern))).select(*cols)
+    # equal keys once here: the join below brings back every row that has them
+    cand = texts.select(*ids, F.explode(_grams(F.col(text))).alias("_gram")).distinct().join(long, [*keys, "_gram"]).select(*ids, *keep)
+    found = cand.join(texts, ids).filter(F.col(text).contains(F.col(pattern))).select(*cols)
     short_hits = _scan(texts.select(*ids, text).distinct(), short.select(*keys, pattern).distinct(), keys, [pattern], test)
     rest = short_hits.drop(text).join(short, [*keys, pattern]).select(*ids, *keep).distinct().join(texts, ids)
     rest = rest.filter(F.col(text).contains(F.col(pattern)))
@@ -129,8 +118,7 @@ def word_join(
     if small is None:
         small = is_small(patterns)
     if small:
-        exploded = texts.withColumn(word, F.explode(_only(words(low), patterns, word)))
-        return exploded.join(F.broadcast(patterns), [*keys, word])
+        return texts.withColumn(word, F.explode(words(low))).join(F.broadcast(patterns), [*keys, word])
     ids = list(dict.fromkeys([*row_key, *keys]))
     cand = texts.select(*ids, F.explode(words(low)).alias(word)).distinct().join(patterns, [*keys, word])
     return cand.join(texts, ids)
@@ -155,7 +143,10 @@ def contained_ids(
         ids = F.array_sort(F.array_distinct(F.transform(hits, lambda p: p[ident])))
         return texts.join(packed, list(keys), "left").withColumn(
             out, F.coalesce(ids, F.array().cast("array<bigint>"))).drop("_pats")
-    found = contains_join(texts, patterns, keys, text, pattern, row_key, small)
+    sent = None if small is False else automaton.shipped(patterns, [*keys, pattern, ident])
+    if sent is not None:
+        return automaton.contained(texts, keys, text, automaton.grouped(sent, keys, pattern, ident), out, T.LongType())
+    found = contains_join(texts, patterns, keys, text, pattern, row_key, False)
     ids = found.groupBy(*row_key).agg(F.array_sort(F.collect_set(ident)).alias(out))
     return texts.join(ids, list(row_key), "left").withColumn(
         out, F.coalesce(F.col(out), F.array().cast("array<bigint>")))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from liasse import schemas
+from liasse.plans import versions
 from liasse.plans.ingest import ingest_batch
 
 
@@ -22,3 +23,16 @@ def ingest_stream(pages: DataFrame, root: str, checkpoint: str, once: bool = Tru
 
     writer = pages.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
+
+
+def ingest_versions(pages: DataFrame, root: str, checkpoint: str, once: bool = True, **options) -> StreamingQuery:
+    """Ingest a stream of pages into a store of commits, with postings and statistics per micro-batch.
+
+    A micro-batch is a commit of its number; one that is handed over again is
+    there already and adds nothing.
+    """
+    def add(batch: DataFrame, batch_id: int) -> None:
+        versions.ingest(batch.sparkSession, batch, root, f"stream-{batch_id}", again=False, **options)
+
+    writer = pages.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer).start()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ["text_jobs", "retrieval_jobs", "segment_jobs", "entity_jobs", "person_jobs", "digest_jobs", "key_jobs"]
+AREAS = ["text_jobs", "retrieval_jobs", "segment_jobs", "entity_jobs", "person_jobs", "digest_jobs", "key_jobs", "store_jobs"]
 
 
 def _merged(kind: str) -> dict:

@@ -57,9 +57,13 @@ def _sql(spark: SparkSession, d: str, sql: str) -> DataFrame:
     return spark.sql(named, orders=table(spark, d, "orders"), customer=table(spark, d, "customer"))
 
 
+def stored_key(d: str) -> str:
+    """Tells tables derived from one folder from those of another."""
+    return hashlib.sha1(d.encode()).hexdigest()[:12]
+
+
 def _stored(spark: SparkSession, d: str, name: str, sql: str) -> DataFrame:
-    key = hashlib.sha1(d.encode()).hexdigest()[:12]
-    return written_once(lambda: _sql(spark, d, sql), spark, f"{name}-{key}")
+    return written_once(lambda: _sql(spark, d, sql), spark, f"{name}-{stored_key(d)}")
 
 
 def case_pages(spark: SparkSession, d: str) -> DataFrame:
