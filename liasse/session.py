@@ -63,13 +63,13 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def staged(df: DataFrame, path: str | None = None) -> DataFrame:
+def staged(df: DataFrame, path: str | None = None, codec: str | None = None) -> DataFrame:
     """Write a table once to the shared folder and go on from the copy.
 
     For results that several later steps read; a lost executor then costs a
-    re-read, not a recomputation.
+    re-read, not a recomputation. ``codec``: another compression than the session's.
     """
     spark = df.sparkSession
     path = path or f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/staged-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").parquet(path, compression=codec)
     return spark.read.parquet(path)
