@@ -11,7 +11,7 @@ from liasse.operators import identity, segment
 from liasse.operators.segment import DOC
 from liasse.schemas import with_chunk_meta
 from liasse.session import staged
-from liasse.plans.ordering import capped_concat, name_block, page_block, running_total
+from liasse.plans.ordering import capped_concat, name_block, page_block, parted_concat, running_total
 
 CHUNK_COLUMNS = [
     "case_id", "source", "page", "chunk_ord", "local_chunk_id", "chunk_kind", "text", "doc_date",
@@ -117,3 +117,8 @@ def clean_pages(pages: DataFrame, full_nfkc: bool = False) -> DataFrame:
 def concat_document(chunks: DataFrame, cap: int = rules.DOC_TEXT_CHARS) -> DataFrame:
     """Whole-document text from its chunks, blank line between, capped."""
     return capped_concat(chunks, DOC, ["chunk_ord"], page_block("chunk_ord", 4096), "text", cap)
+
+
+def document_parts(chunks: DataFrame, size: int = rules.DOC_TEXT_CHARS) -> DataFrame:
+    """Whole-document text from its chunks, nothing cut off, in parts of about ``size`` characters."""
+    return parted_concat(chunks, DOC, ["chunk_ord"], page_block("chunk_ord", 4096), "text", size)

@@ -11,24 +11,37 @@ from liasse import rules
 from liasse.functions.text import strip_ends
 from liasse.operators.segment import DOC
 from liasse.operators.signals import has_any
-from liasse.plans.ordering import capped_concat, page_block, running_total
+from liasse.plans.ordering import capped_concat, page_block, parted_concat, running_total
 from liasse.schemas import with_chunk_meta
 
 ORD_BLOCK = 4096
 
 
+def section_hits(chunks: DataFrame, sections: dict[str, list[str]]) -> DataFrame:
+    """case_id, chunk_ord, text, section: each chunk once for every section it has a keyword of."""
+    low = F.lower("text")
+    hits = F.array_compact(F.array(*[
+        F.when(has_any(low, [k.lower() for k in words]), F.lit(name)) for name, words in sections.items() if words]
+        or [F.lit(None).cast("string")]))
+    return chunks.select("case_id", "chunk_ord", "text", F.explode(hits).alias("section"))
+
+
+def section_parts(chunks: DataFrame, sections: dict[str, list[str]], size: int = rules.SECTION_CHARS) -> DataFrame:
+    """The whole text of each case and section with any hit, in parts of about ``size`` characters.
+
+    A section without hits has no part: the whole case stands for it.
+    """
+    return parted_concat(section_hits(chunks, sections), ["case_id", "section"], ["chunk_ord"], page_block("chunk_ord", ORD_BLOCK), "text", size)
+
+
 def select_sections(chunks: DataFrame, sections: dict[str, list[str]], cap: int = rules.SECTION_CHARS) -> DataFrame:
     """Text per case and section: chunks with any keyword, else the start of the whole case.
 
     The keyword lists are compiled into one projection, so a chunk is read
     once for all sections.
     """
-    low = F.lower("text")
-    hits = F.array_compact(F.array(*[
-        F.when(has_any(low, [k.lower() for k in words]), F.lit(name)) for name, words in sections.items() if words]
-        or [F.lit(None).cast("string")]))
     block = page_block("chunk_ord", ORD_BLOCK)
-    hit_rows = chunks.select("case_id", "chunk_ord", "text", F.explode(hits).alias("section"))
+    hit_rows = section_hits(chunks, sections)
     chosen = capped_concat(hit_rows, ["case_id", "section"], ["chunk_ord"], block, "text", cap).withColumn("fallback", F.lit(False))
     whole = capped_concat(chunks, ["case_id"], ["chunk_ord"], block, "text", cap)
     wanted = whole.select("case_id", F.explode(F.array(*[F.lit(s) for s in sections])).alias("section"))

@@ -79,6 +79,22 @@ def capped_concat(
     return need.groupBy(*keys).agg((joined if cap is None else F.left(joined, F.lit(cap))).alias(out))
 
 
+def parted_concat(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], block: Column, text: str, size: int, sep: str = "\n\n", out: str = "text", part: str = "part",
+) -> DataFrame:
+    """The whole joined text of a key, in parts: one row per key and ``part``, in the order of ``part``.
+
+    A part holds the texts that begin in its ``size`` characters, so a gathered
+    group holds about ``size`` characters plus one row, however long the whole
+    is. Behind a text longer than that, numbers are left out.
+    """
+    placed = running_total(
+        df.filter(F.length(text) > 0).select(*keys, *order, F.col(text).alias("_text"), block.alias("_b")),
+        keys, order, F.length("_text") + len(sep), F.col("_b"), "_at")
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("_at", "_text"))), lambda p: p["_text"])
+    return placed.withColumn(part, F.floor(F.col("_at") / size)).groupBy(*keys, part).agg(F.array_join(texts, sep).alias(out))
+
+
 def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], n: int | None = 1,
                rank: str | None = None) -> DataFrame:
     """The first ``n`` rows of each key (None: all, ranked). Spark prunes to ``n`` per map task before the shuffle."""

@@ -127,8 +127,6 @@ FACT_PRINT = [
 ]
 FACT_PREFIX = "IDENTITÉ (extrait structuré) — "
 FACT_TITLES = ["identité", "identite", "etat civil", "état civil", "signalement", "filiation"]
-FACT_LINES = 260
-FACT_PAGES = 5
 FACT_NARRATIVE = {
     "adresse": r"\b(?:demeurant|residant|domicilie\s+a|habite|demeure)\b\s*(.+?)"
                r"(?=\b(?:ne|nee)\b|\bfiliation\b|\bnationalit|\bprofession\b|\bsituation familiale\b|$)",

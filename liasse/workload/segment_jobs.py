@@ -102,6 +102,12 @@ def section_texts(spark, d):
     return s.select("case_id", "section", "fallback", F.length("text").alias("n_chars"), F.md5("text").alias("digest"))
 
 
+def section_parts(spark, d):
+    """All chunks of each section, in parts."""
+    s = digests.section_parts(b.document_chunks(spark, d), SECTIONS)
+    return s.select("case_id", "section", "part", F.length("text").alias("n_chars"), F.md5("text").alias("digest"))
+
+
 def exact_dups(spark, d):
     """Incremental ingest: documents whose text is new; the first half by a fixed hash is already known."""
     pages = b.text_table(spark, d, "documents").select(F.lit("corpus").alias("case_id"),
@@ -143,7 +149,7 @@ QUERIES = {
     "document_tags": document_tags, "web_tags": web_tags, "form_scores": form_scores, "unit_titles": unit_titles,
     "logical_units": logical_units, "unit_anchors": unit_anchors, "form_fields": form_fields, "narrative_fields": narrative_fields,
     "identity_facts": identity_facts, "ingest_chunks": ingest_chunks, "ingest_text_chunks": ingest_text_chunks,
-    "ingest_ordinals": ingest_ordinals, "unit_texts": unit_texts, "unit_fallbacks": unit_fallbacks, "section_texts": section_texts,
+    "ingest_ordinals": ingest_ordinals, "unit_texts": unit_texts, "unit_fallbacks": unit_fallbacks, "section_texts": section_texts, "section_parts": section_parts,
     "exact_dups": exact_dups, "corpus_catalog": corpus_catalog, "corpus_units": corpus_units, "corpus_cases": corpus_cases,
 }
 
@@ -265,6 +271,13 @@ p AS (SELECT case_id, source, coalesce(max(doc_id) FILTER (WHERE l = 2), max(doc
 SELECT p.case_id, p.source, 2 AS unit_index, chunk_ord,
   md5(concat(p.source, ' — extrait 2', chr(10), '(page ', chunk_ord, ')', chr(10), chr(10), coalesce(nullif({duck.strip('text')}, ''), '(extrait vide)'), chr(10))) AS digest
 FROM p LEFT JOIN documents ON doc_id = chunk_ord""".replace("md5(concat", "CASE WHEN chunk_ord IS NOT NULL THEN md5(concat").replace("chr(10))) AS digest", "chr(10))) END AS digest"),
+    "section_parts": """
+WITH k AS (SELECT * FROM (VALUES ('tion', 'tional'), ('tion', 'thtion'), ('eau', 'eauou'), ('none', 'zzqqzz')) v(section, word)),
+hit AS (SELECT DISTINCT lang, doc_id, section FROM documents JOIN k ON contains(lower(text), word)),
+placed AS (SELECT lang, section, doc_id, text, coalesce(sum(length(text) + 2) OVER (PARTITION BY lang, section ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begins
+       FROM hit JOIN documents USING (lang, doc_id)),
+t AS (SELECT lang, section, (begins // 12000)::BIGINT AS part, string_agg(text, chr(10) || chr(10) ORDER BY doc_id) AS t FROM placed GROUP BY ALL)
+SELECT lang AS case_id, section, part, length(t) AS n_chars, md5(t) AS digest FROM t""",
     "section_texts": """
 WITH k AS (SELECT * FROM (VALUES ('tion', 'tional'), ('tion', 'thtion'), ('eau', 'eauou'), ('none', 'zzqqzz')) v(section, word)),
 hit AS (SELECT DISTINCT lang, doc_id, section FROM documents JOIN k ON contains(lower(text), word)),

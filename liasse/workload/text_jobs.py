@@ -76,7 +76,14 @@ def document_texts(spark, d):
     return doc.select("case_id", "source", F.length("text").alias("n_chars"), F.md5("text").alias("digest"))
 
 
+def document_parts(spark, d):
+    """The same texts whole, in parts."""
+    doc = chunking.document_parts(b.document_chunks(spark, d).drop("unit_title"), 60_000)
+    return doc.select("case_id", "source", "part", F.length("text").alias("n_chars"), F.md5("text").alias("digest"))
+
+
 QUERIES = {
+    "document_parts": document_parts,
     "text_clean": text_clean,
     "norm_tokens": norm_tokens,
     "sentence_stats": sentence_stats,
@@ -139,6 +146,11 @@ FROM t""",
     "alias_lists": f"""
 WITH {duck.PERSONS}
 SELECT person_id, concat(last_name, '|le ', source) AS aliases FROM persons""",
+    "document_parts": """
+SELECT case_id, source, part, length(t) AS n_chars, md5(t) AS digest FROM (
+  SELECT lang AS case_id, source, (begins // 60000)::BIGINT AS part, string_agg(text, chr(10) || chr(10) ORDER BY doc_id) AS t FROM (
+    SELECT *, coalesce(sum(length(text) + 2) OVER (PARTITION BY lang, source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begins
+    FROM documents WHERE length(text) > 0) GROUP BY ALL)""",
     "document_texts": """
 SELECT lang AS case_id, source, length(t) AS n_chars, md5(t) AS digest FROM (
   SELECT lang, source, left(string_agg(text, chr(10) || chr(10) ORDER BY doc_id), 60000) AS t

@@ -128,3 +128,14 @@ def test_neighbors_keep_base_first(spark):
     params = spark.createDataFrame([(1, "c", 2, 0)], "query_id bigint, case_id string, top_k int, max_per_source int")
     got = [r.chunk_ord for r in fusion.expand_neighbors(hits, chunks, params).orderBy("rank").collect()]
     assert got == [4, 0, 3, 5]
+
+
+def test_parts_make_up_the_whole(spark):
+    from liasse.plans.ordering import parted_concat
+
+    texts = ["a" * 7, "", "bb", None, "c" * 40, "d", "e" * 9]
+    df = spark.createDataFrame([("k", i, t) for i, t in enumerate(texts)], "k string, id int, text string")
+    whole = "\n\n".join(t for t in texts if t)
+    for size in (1, 10, 1000):
+        parts = parted_concat(df, ["k"], ["id"], page_block("id", 2), "text", size).orderBy("part").collect()
+        assert "\n\n".join(r.text for r in parts) == whole and (size > 10 or len(parts) > 2)

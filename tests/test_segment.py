@@ -100,3 +100,37 @@ def test_ingest_order_and_kinds(spark):
     # the demo file holds an identity form of its own
     assert {r.source for r in fact} == {"b.pdf", "f.pdf"}
     assert all(r.local_chunk_id == -1 and r.doc_type == "pv_identite" and r.unit_title.endswith(" — IDENTITÉ (facts)") for r in fact)
+
+
+def prefix_scan(pages, read, enough):
+    """Fields of the growing text of a unit, page by page, until they are enough."""
+    got = {}
+    for k in range(1, len(pages) + 1):
+        for key, value in read("\n".join(pages[:k])).items():
+            got.setdefault(key, value)
+        if enough(got):
+            return got, k
+    return got, len(pages)
+
+
+def test_fields_of_all_pages_as_by_growing_prefixes(spark):
+    filler = [f"Ligne {i} sans rien" for i in range(320)]
+    units = [
+        ["VÉRIFICATION D'IDENTITÉ", "rien", "", "rien", "encore", "NOM : DUPONT\nPRÉNOM : Jean", "Adresse : Lille", "né le 3 mai 1980 à Lyon"],
+        ["\n".join([*filler, "NOM : TARD", "PRÉNOM : Paul", "PROFESSION : juge", "FILIATION : connue"])],
+        ["NOM :", "MARTIN\nPRÉNOM :", "", " \n ", "Luc", "demeurant", "au 4 rue B, de nationalité", "française"],
+        ["NOM : A", "NOM : B\nPRÉNOM : C", "il est né", "le 1er mai, profession : boulanger", "PROFESSION : autre\nADRESSE :"],
+        ["PRÉNOM : X\nNOM : Y\nADRESSE : Z\nDATE ET LIEU DE NAISSANCE : 1/1/1970", "PROFESSION : jamais lue"],
+        ["rien du tout", None, "ni ici"],
+    ]
+    rows = [("c", f"u{i}", 0, k, t) for i, pages in enumerate(units) for k, t in enumerate(pages, 1)]
+    df = spark.createDataFrame(rows, "case_id string, source string, unit_index int, page int, text string")
+    blobs = sorted({"\n".join((t or "") for t in pages[:k]) for pages in units for k in range(1, len(pages) + 1)})
+    read = {r.t: r.f for r in spark.createDataFrame([(t,) for t in blobs], "t string").select("t", identity.page_fields(F.col("t")).alias("f")).collect()}
+    enough = lambda f: "nom" in f and "prenom" in f and ("naissance" in f and "adresse" in f or len(f) >= 4)
+    want = {f"u{i}": prefix_scan([t or "" for t in pages], read.get, enough) for i, pages in enumerate(units)}
+    got = {r.source: (r.fields, r.n_scanned) for r in identity.scan_fields(df).collect()}
+    assert got == want
+    assert got["u0"][0]["nom"] == "DUPONT" and got["u1"][0]["nom"] == "TARD" and got["u2"][0]["adresse"].startswith("au 4 rue B")
+    few = {r.source: r.fields for r in identity.scan_fields(df, 5).collect()}
+    assert "nom" not in few["u0"]
