@@ -307,7 +307,7 @@ def compared_with_next(docs: DataFrame, text: str = "text", ranks: np.ndarray |
 
     line = base.withColumn("_key", F.xxhash64("text")).repartitionByRange(F.asc_nulls_last("doc_id"), F.asc("_key"))
     line = line.sortWithinPartitions(F.asc_nulls_last("doc_id"), F.asc("_key"), F.asc("text")).select("doc_id", "text")
-    walked = staged(map_batches(line, walk, _ROW + ", text string, kind string, part long"))
+    walked = staged(map_batches(line, walk, _ROW + ", text string, kind string, part long"), codec="zstd")
     parts = sorted(r["part"] for r in walked.filter("kind = 'head'").select("part").collect())
     follows = spark.createDataFrame(list(zip(parts, parts[1:] + parts[:1], strict=True)), "part long, _next long")
     heads = walked.filter("kind = 'head'").select(F.col("part").alias("_next"), F.col("text").alias("_text"), F.col("fingerprint").alias("_print"))
