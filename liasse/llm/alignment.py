@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import json
 import os
 from collections.abc import Iterator
 
@@ -37,6 +38,8 @@ MAX_MODEL = 64 << 20
 BATCH_BYTES = 1 << 20
 HOT = 10_000
 SHIFT = 32
+#: fixed value: how byte-level tokenizers cut texts
+BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 def read_model(path: str) -> bytes:
@@ -55,7 +58,13 @@ def byte_letters() -> dict[str, int]:
 
 
 class ByteLevel:
-    """A byte-level BPE of the tokenizers library."""
+    """A byte-level BPE of the tokenizers library.
+
+    A file of the plain form is run by the tiktoken library, which needs about
+    half the time and gives the same ids: such a file cuts texts by
+    ``BYTE_LEVEL_PATTERN``, and where ids rise with the merges, the pair that
+    makes up a token is always the one that its merge names.
+    """
 
     def __init__(self, raw: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -67,8 +76,25 @@ class ByteLevel:
         self.tokens = [b""] * (max(vocabulary.values()) + 1)
         for entry, i in vocabulary.items():
             self.tokens[i] = bytes(letters[c] for c in entry) if all(c in letters for c in entry) else entry.encode()
+        self.fast = self._fast(json.loads(raw))
+
+    def _fast(self, file: dict):
+        model, cut = file["model"], file["pre_tokenizer"] or {}
+        plain = (file["normalizer"] is None and model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "ignore_merges", "byte_fallback", "unk_token"))
+                 and cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space")
+                 and all(t["special"] for t in file["added_tokens"]))
+        special = {t["id"] for t in file["added_tokens"]}
+        made = [model["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+        if not plain or any(x >= y for x, y in zip(made, made[1:], strict=False)):
+            return None
+        import tiktoken
+
+        ranks = {token: i for i, token in enumerate(self.tokens) if i not in special}
+        return tiktoken.Encoding("plain", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens={}) if len(ranks) == len(made) + 256 else None
 
     def encode(self, texts: list[str]) -> list[list[int]]:
+        if self.fast is not None:
+            return [self.fast.encode_ordinary(" " + t) for t in texts]
         return [e.ids for e in self.coder.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
 
 

@@ -1,6 +1,8 @@
 import hashlib
+import json
 from collections import Counter
 
+import duckdb
 import pandas as pd
 import public_tokenizers
 import pytest
@@ -114,3 +116,23 @@ def test_odd_input(spark, coders):
     assert all(tuple(r)[1:] == (0, 0, 0, 0, 0, 0, "") for r in zero) and len(zero) == 2
     assert next(r for r in got if r["doc_id"] == 9)["n_a"] > 80_000
     assert al.report(docs.filter(F.lit(False)), *MODELS).count() == 0
+
+
+def test_both_libraries_give_the_same_ids(coders, sf):
+    side = coders[0]
+    assert side.fast is not None
+    slow = lambda t: side.coder.encode(" " + t, add_special_tokens=False).ids
+    letters = [f"a{c}b {c} 1{c}1 {c}{c}.{c}\n" for c in map(chr, range(0x10000)) if not 0xD800 <= ord(c) < 0xE000]
+    blocks = ["".join(letters[i : i + 64]) for i in range(0, len(letters), 64)]
+    docs = duckdb.sql(f"SELECT text FROM '{sf}/documents.parquet'").fetchall()
+    for t in TEXTS + blocks + [d[0] for d in docs if d[0]]:
+        assert side.encode([t])[0] == slow(t)
+
+
+def test_files_of_another_form_go_by_the_other_library():
+    file = json.loads(MODELS[0])
+    file["model"]["ignore_merges"] = True
+    assert al.ByteLevel(json.dumps(file).encode()).fast is None
+    file = json.loads(MODELS[0])
+    file["model"]["merges"].reverse()
+    assert al.ByteLevel(json.dumps(file).encode()).fast is None
