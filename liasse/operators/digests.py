@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -13,8 +15,10 @@ from liasse.operators.segment import DOC
 from liasse.operators.signals import has_any
 from liasse.plans.ordering import capped_concat, page_block, parted_concat, running_total
 from liasse.schemas import with_chunk_meta
+from liasse.session import staged
 
 ORD_BLOCK = 4096
+FAN = 64
 
 
 def section_hits(chunks: DataFrame, sections: dict[str, list[str]]) -> DataFrame:
@@ -115,8 +119,9 @@ def chronology(chunks: DataFrame, documents: DataFrame | None = None, date_from:
 # The rule is sequential: a block closes when the next text would pass the cap. To run it in
 # parallel a case is cut into segments of consecutive chunks. Inside a segment every possible
 # first closing place is followed to the segment's end (each place follows a single next
-# place, so this is one backward pass). Then only segment summaries are chained, and every
-# segment numbers its own chunks. Lengths alone are moved, never texts.
+# place, so this is one backward pass). Such a summary maps what is open before a segment to
+# what is open behind it; summaries are composed in a tree, and every segment numbers its own
+# chunks. Lengths alone are moved, never texts.
 
 
 def _next_closing(lens: np.ndarray, cap: int) -> np.ndarray:
@@ -134,7 +139,74 @@ def _entry_place(lens: np.ndarray, carried: int, cap: int) -> int:
     return int(np.searchsorted(np.cumsum(lens), cap - carried, side="right"))
 
 
-def pack_blocks(chunks: DataFrame, cap: int = rules.BLOCK_CHARS, segment: int = 50_000) -> DataFrame:
+def _through(part: pd.DataFrame, carried: int, cap: int) -> tuple[int, int]:
+    """Blocks that a segment opens, and what its last one holds, when a block of ``carried`` characters is open before it."""
+    upto = part["upto"].to_numpy()
+    p = 0 if carried == 0 else max(0, int(np.searchsorted(upto, cap - carried, side="right")) - 1)
+    if p >= part["n"].iloc[0]:
+        return 0, carried + int(part["total"].iloc[0])
+    return int(part["opened"].iloc[p]), int(part["left"].iloc[p])
+
+
+def _composed(first: pd.DataFrame, second: pd.DataFrame, cap: int) -> pd.DataFrame:
+    """The summary of two neighbouring segments as one.
+
+    An entry that ends its block within the first segment enters the second
+    one with what is left there. An entry that takes in the whole first
+    segment meets the second one's places that much later. No summary has
+    more places than short chunks fit into a block.
+    """
+    n, total = int(first["n"].iloc[0]), int(first["total"].iloc[0])
+    fixed = first[first["place"] < n]
+    after = [_through(second, int(left), cap) for left in fixed["left"]]
+    upto, opened, left = fixed["upto"].tolist(), [o + a for o, (a, _) in zip(fixed["opened"], after, strict=True)], [b for _, b in after]
+    fits, closed = False, 1 << 30
+    if len(first) > len(fixed):
+        later = second[second["upto"] + total <= cap]
+        upto += (later["upto"] + total).tolist()
+        opened += later["opened"].tolist()
+        left += later["left"].tolist()
+        fits = bool((later["place"] >= second["n"].iloc[0]).any())
+    return pd.DataFrame({"place": np.arange(len(upto)), "upto": upto, "total": total + int(second["total"].iloc[0]),
+                         "n": len(upto) - 1 if fits else closed, "opened": opened, "left": left})
+
+
+def _entries(summary: DataFrame, cap: int, fan: int) -> DataFrame:
+    """case_id, seg, carried, blocks: the state in which each segment is entered.
+
+    Segments are put together ``fan`` at a time, level by level, until a case
+    is one piece; then each level hands its entry down to its parts. No task
+    sees more than ``fan`` summaries, however many segments a case has.
+    """
+    kind = "case_id string, seg bigint, place int, upto bigint, total bigint, n int, opened bigint, left bigint"
+
+    def together(pdf: pd.DataFrame) -> pd.DataFrame:
+        parts = [part for _, part in pdf.sort_values(["seg", "place"]).groupby("seg")]
+        whole = functools.reduce(lambda a, b: _composed(a, b, cap), parts)
+        return whole.assign(case_id=pdf["case_id"].iloc[0], seg=pdf["seg"].iloc[0] // fan)[[c.split()[0] for c in kind.split(", ")]]
+
+    levels = [staged(summary)]
+    while (levels[-1].agg(F.max("seg")).first()[0] or 0) > 0:
+        levels.append(staged(levels[-1].withColumn("_up", F.floor(F.col("seg") / fan)).groupBy("case_id", "_up").applyInPandas(
+            lambda pdf: together(pdf.drop(columns="_up")), kind)))
+
+    def handed(pdf: pd.DataFrame) -> pd.DataFrame:
+        carried, blocks, out = int(pdf["carried"].iloc[0]), int(pdf["blocks"].iloc[0]), []
+        for seg, part in pdf.sort_values(["seg", "place"]).groupby("seg"):
+            out.append((pdf["case_id"].iloc[0], seg, carried, blocks))
+            more, carried = _through(part, carried, cap)
+            blocks += more
+        return pd.DataFrame(out, columns=["case_id", "seg", "carried", "blocks"])
+
+    states = levels[-1].select("case_id", "seg").distinct().withColumns({"carried": F.lit(0).cast("bigint"), "blocks": F.lit(0).cast("bigint")})
+    for level in reversed(levels[:-1]):
+        above = states.withColumnRenamed("seg", "_up")
+        states = level.withColumn("_up", F.floor(F.col("seg") / fan)).join(above, ["case_id", "_up"]).groupBy("case_id", "_up").applyInPandas(
+            handed, "case_id string, seg bigint, carried bigint, blocks bigint")
+    return states
+
+
+def pack_blocks(chunks: DataFrame, cap: int = rules.BLOCK_CHARS, segment: int = 50_000, fan: int = FAN) -> DataFrame:
     """Chunks with ``block_id``: consecutive non-empty chunks up to ``cap`` characters, never split."""
     size = F.length(strip_ends(F.coalesce("text", F.lit("")))) + 2
     lens = chunks.select("case_id", "chunk_ord", size.alias("len")).filter("len > 2").withColumn(
@@ -159,21 +231,7 @@ def pack_blocks(chunks: DataFrame, cap: int = rules.BLOCK_CHARS, segment: int =
     summary = lens.groupBy("case_id", "seg").applyInPandas(
         summarize, "case_id string, seg bigint, place int, upto bigint, total bigint, n int, opened bigint, left bigint")
 
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        carried, blocks, out = 0, 0, []
-        for seg, part in pdf.sort_values(["seg", "place"]).groupby("seg"):
-            out.append((pdf["case_id"].iloc[0], seg, carried, blocks))
-            upto = part["upto"].to_numpy()
-            # the open block takes chunks while it stays within the cap
-            p = 0 if carried == 0 else max(0, int(np.searchsorted(upto, cap - carried, side="right")) - 1)
-            if p >= part["n"].iloc[0]:
-                carried += int(part["total"].iloc[0])
-            else:
-                blocks += int(part["opened"].iloc[p])
-                carried = int(part["left"].iloc[p])
-        return pd.DataFrame(out, columns=["case_id", "seg", "carried", "blocks"])
-
-    states = summary.groupBy("case_id").applyInPandas(chain, "case_id string, seg bigint, carried bigint, blocks bigint")
+    states = _entries(summary, cap, fan)
 
     def number(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("chunk_ord")

@@ -13,6 +13,7 @@ from liasse.functions.text import citation, norm_text, snippet
 from liasse.plans.matching import contained_ids, contains_join
 from liasse.plans.ordering import first_rows, page_block, running_total
 from liasse.schemas import with_chunk_meta
+from liasse.session import staged
 
 OCC_KEY = ["case_id", "chunk_ord", "kind", "rule", "start", "end"]
 SOCIAL = ["telegram", "whatsapp", "snapchat"]
@@ -258,16 +259,24 @@ def summarize_theme(occ: DataFrame, by: Sequence[str] = (), limit: int | None =
         "line", F.concat(F.lit("- "), F.col("value"), F.lit(" ("), F.col("badge"), F.lit(") — "), F.col("places")))
 
 
-def technical_panel(chunks: DataFrame, persons: DataFrame, limit: int | None = None) -> DataFrame:
+def linked_facts(chunks: DataFrame, persons: DataFrame, kinds: Sequence[str]) -> DataFrame:
+    """Occurrences of all kinds with the persons named near each, found in one pass and written down without texts."""
+    return staged(mark_linked(extract_entities(chunks, kinds), persons).drop("near"))
+
+
+def by_person(facts: DataFrame) -> DataFrame:
+    """Facts once for each person named near them."""
+    return facts.withColumn("person_id", F.explode("linked_persons")).drop("linked_persons")
+
+
+def technical_panel(chunks: DataFrame, persons: DataFrame, limit: int | None = None, facts: DataFrame | None = None) -> DataFrame:
     """Eight themes side by side: phones for the whole case, the others per person and strict.
 
-    One scan finds all kinds. Phone rows carry a null person_id: they hold for
-    every person of the case.
+    All kinds come from one table of facts. Phone rows carry a null person_id:
+    they hold for every person of the case.
     """
-    kinds = list(dict.fromkeys(rules.THEMES.values()))
-    occ = extract_entities(chunks, kinds)
-    phones = summarize_theme(mark_linked(occ.filter("kind = 'phone'"), persons), (), limit).withColumn(
-        "person_id", F.lit(None).cast("bigint"))
-    rest = summarize_theme(link_person(occ.filter("kind <> 'phone'"), persons), ["person_id"], limit)
+    facts = linked_facts(chunks, persons, list(dict.fromkeys(rules.THEMES.values()))) if facts is None else facts
+    phones = summarize_theme(facts.filter("kind = 'phone'"), (), limit).withColumn("person_id", F.lit(None).cast("bigint"))
+    rest = summarize_theme(by_person(facts.filter("kind <> 'phone'")), ["person_id"], limit)
     cols = ["case_id", "person_id", "kind", "item_rank", "value", "n_occurrences", "badge", "places", "line"]
     return phones.select(*cols).unionByName(rest.select(*cols))

@@ -29,7 +29,7 @@ def person_profile(chunks: DataFrame, persons: DataFrame, search=None, fallback_
     facts = evidence.evidence_stats(evidence.dedup_evidence(evidence.classify_evidence(wide)))
     counts = lambda df, name: df.groupBy(*PERSON).agg(F.count(F.lit(1)).alias(name))
     kinds = [k for k in dict.fromkeys(rules.THEMES.values()) if k != "phone"]  # phones hold for the whole case
-    linked = entities.link_person(entities.extract_entities(chunks, kinds), persons)
+    linked = entities.by_person(entities.linked_facts(chunks, persons, kinds))
     panel = counts(entities.aggregate_entities(linked, ["person_id"]), "n_technical")
     out = persons.select(*PERSON, "name")
     parts = [counts(civil, "n_civil"), counts(wide, "n_global"), facts,

@@ -98,6 +98,12 @@ def block_pack(spark, d):
     return D.pack_blocks(b.document_chunks(spark, d), segment=64).select("case_id", "chunk_ord", "block_id")
 
 
+def block_pack_tree(spark, d):
+    """One case with all rows, in short segments that are put together few at a time."""
+    one = b.document_chunks(spark, d).withColumn("case_id", b.one_case("chunk_ord").alias("c"))
+    return D.pack_blocks(one, segment=100, fan=4).select("case_id", "chunk_ord", "block_id")
+
+
 def block_groups(spark, d):
     c = b.document_chunks(spark, d)
     g = D.group_blocks(D.block_texts(c, D.pack_blocks(c)))
@@ -118,7 +124,7 @@ QUERIES = {
     "unit_context": unit_context, "flat_context": flat_context, "citable_context": citable_context, "source_summary": source_summary,
     "source_summary_pages": source_summary_pages, "history_newest": _history(True), "history_oldest": _history(False),
     "history_blocks": history_blocks, "citations": citations, "truncated_answers": truncated_answers, "bundles": bundles,
-    "bundle_order": bundle_order, "chronology": chronology, "chronology_top": chronology_top, "block_pack": block_pack,
+    "bundle_order": bundle_order, "chronology": chronology, "chronology_top": chronology_top, "block_pack": block_pack, "block_pack_tree": block_pack_tree,
     "block_groups": block_groups, "markdown_segments": markdown_segments, "monthly_rollup": monthly_rollup,
 }
 
@@ -193,6 +199,12 @@ WITH {_DATED}, g AS (SELECT case_id, source, (list(dd ORDER BY page))[1] AS doc_
 SELECT case_id, source, doc_date, md5(ex) AS digest FROM g ORDER BY doc_date NULLS LAST, source, case_id LIMIT 100""",
     "block_pack": f"""
 WITH RECURSIVE t AS (SELECT lang, doc_id, length({duck.strip('text')}) + 2 AS n, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS i FROM documents WHERE {duck.strip('text')} <> ''),
+p AS (SELECT lang, doc_id, i, n AS cur, 0 AS block_id FROM t WHERE i = 1
+  UNION ALL SELECT t.lang, t.doc_id, t.i, CASE WHEN p.cur + t.n > 8000 THEN t.n ELSE p.cur + t.n END, CASE WHEN p.cur + t.n > 8000 THEN p.block_id + 1 ELSE p.block_id END
+  FROM p JOIN t ON t.lang = p.lang AND t.i = p.i + 1)
+SELECT lang AS case_id, doc_id AS chunk_ord, block_id FROM p""",
+    "block_pack_tree": f"""
+WITH RECURSIVE t AS (SELECT 'corpus' AS lang, doc_id, length({duck.strip('text')}) + 2 AS n, row_number() OVER (ORDER BY doc_id) AS i FROM documents WHERE {duck.strip('text')} <> ''),
 p AS (SELECT lang, doc_id, i, n AS cur, 0 AS block_id FROM t WHERE i = 1
   UNION ALL SELECT t.lang, t.doc_id, t.i, CASE WHEN p.cur + t.n > 8000 THEN t.n ELSE p.cur + t.n END, CASE WHEN p.cur + t.n > 8000 THEN p.block_id + 1 ELSE p.block_id END
   FROM p JOIN t ON t.lang = p.lang AND t.i = p.i + 1)

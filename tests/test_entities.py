@@ -1,7 +1,9 @@
 from pyspark.sql import functions as F
 
+from liasse import rules
 from liasse.operators import entities as E
 from liasse.operators import evidence as V
+from liasse.operators import persons as P
 from liasse.plans.profile import person_profile
 
 CHUNK = "case_id string, source string, page int, chunk_ord bigint, text string"
@@ -103,3 +105,26 @@ def test_counts_and_lists_have_no_hidden_limit(spark):
     said = spark.createDataFrame([("c", 0, f"s{i}", i, i, 0, f"phrase {i}", f"phrase {i}", "neutre", "2020-01-01") for i in range(130)],
                                  "case_id string, person_id bigint, source string, page int, chunk_ord bigint, sent_no int, sentence string, folded string, kind string, date string")
     assert V.sentence_rows(said).count() == V.sentence_events(said).count() == 130
+
+
+def test_the_panel_is_that_of_its_parts(spark):
+    texts = ["Jean Dupont : 06 12 34 56 78, jean@x.fr et 10.1.2.3", "contact jean@x.fr de Paul Martin. " + "z" * 200 + " 06 12 34 56 78", "IP 10.1.2.3 de Jean Dupont, plaque AB-123-CD"]
+    df = spark.createDataFrame([("c", "s", i, i, t) for i, t in enumerate(texts)], "case_id string, source string, page int, chunk_ord bigint, text string")
+    who = spark.createDataFrame([(1, "c", "Jean Dupont"), (2, "c", "Paul Martin"), (3, "d", "Jean Dupont")], "person_id bigint, case_id string, name string")
+    occ = E.extract_entities(df, list(dict.fromkeys(rules.THEMES.values())))
+    phones = E.summarize_theme(E.mark_linked(occ.filter("kind = 'phone'"), who, False))
+    rest = E.summarize_theme(E.link_person(occ.filter("kind <> 'phone'"), who, False), ["person_id"])
+    want = [(None, r.kind, r.item_rank, r.line) for r in phones.collect()] + [(r.person_id, r.kind, r.item_rank, r.line) for r in rest.collect()]
+    got = [(r.person_id, r.kind, r.item_rank, r.line) for r in E.technical_panel(df, who).collect()]
+    assert len(got) == 5 and sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_names_by_the_automaton_as_by_the_join(spark):
+    texts = ["Jean Dupont", "dupont, " + "x" * 38 + " jean", "dupont, " + "x" * 39 + " jean", "jean-dupont", "Jeanne Dupont et Jean", "DUPONT jean", "dupont_jean", "de la Tour Anne", "anne tour", "jean jean", "O'Neil",
+             "o'neil", "", "élie élie", "elie Martin martin", "dupont dupont jean", "martin " * 50 + "paul"]
+    df = spark.createDataFrame([("cd"[i % 2], "s", i, i, t) for t0 in (0, 1) for i, t in enumerate(texts)][: len(texts)]
+                               + [("dc"[i % 2], "s", i, i, t) for i, t in enumerate(texts)], "case_id string, source string, page int, chunk_ord bigint, text string")
+    who = spark.createDataFrame([(1, "c", "Jean Dupont", ["Dupont"]), (2, "c", "Anne de la Tour", []), (3, "d", "Jean Jean", ["O'Neil"]), (4, "d", "Élie Martin", None), (5, "d", "Jean Dupont", []),
+                                 (1, "d", "Paul Martin", [".."]), (6, "c", "  ", []), (7, "c", "jean", [])], "person_id bigint, case_id string, name string, aliases array<string>")
+    got = [{(r.case_id, r.person_id, r.chunk_ord) for r in P.mentions(df, who, small).collect()} for small in (None, True, False)]
+    assert got[0] == got[1] == got[2] and len(got[0]) > 20

@@ -108,8 +108,8 @@ def test_block_packing_is_greedy_at_any_segment_size(spark):
             block, cur = block + 1, 0
         cur += n + 2
         want.append(block)
-    for seg in (3, 50, 10_000):
-        got = {r.chunk_ord: r.block_id for r in digests.pack_blocks(df, 500, seg).collect()}
+    for seg, fan in ((3, 2), (7, 3), (50, 64), (10_000, 2)):
+        got = {r.chunk_ord: r.block_id for r in digests.pack_blocks(df, 500, seg, fan).collect()}
         assert [got[i] for i in range(len(lens))] == want and 1000 not in got
 
 
