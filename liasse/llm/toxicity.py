@@ -7,8 +7,8 @@ the log ratio of the shares of toxic and clean documents that have it. A
 logistic model is fitted on these values.
 
 It is fitted on the driver on at most ``MOST_TOXIC`` and ``MOST_CLEAN``
-labelled documents of at most ``LONGEST`` bytes, those whose ids have the
-smallest hashes. The model (one weight per feature kept) goes to the tasks;
+labelled documents of at most ``LONGEST`` bytes each and ``MOST_BYTES`` in all,
+those whose ids have the smallest hashes. The model (one weight per feature kept) goes to the tasks;
 scoring reads whole texts in pieces, so memory doesn't grow with a long text.
 
 Results for odd input: null and empty texts get the score that the model's
@@ -39,6 +39,8 @@ LEAST_DOCUMENTS = 4
 MOST_TOXIC = 1_200
 MOST_CLEAN = 2_400
 LONGEST = 100_000
+MOST_BYTES = 48 << 20
+FIT_ROWS = 256
 THRESHOLD = 0.5
 PIECE = 1 << 20
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -92,35 +94,40 @@ def fit(texts: list[str], toxic: np.ndarray, rounds: int = 300, rate: float = 0.
     if not len(texts) or toxic.min() == toxic.max():
         share = float(toxic.mean()) if len(texts) else 0.0
         return Model(-40.0 if share < 0.5 else 40.0, none, np.empty(0))
-    found = []
-    for t in texts:
-        own, times = np.unique(np.concatenate([none, *grams(t)]), return_counts=True)
-        found.append((own.astype(np.int32), times.astype(np.int32)))
-    seen = np.zeros((2, SLOTS))
-    for (features, _), y in zip(found, toxic, strict=True):
-        seen[int(y), features] += 1
+    # the texts are gone through twice, so that no table of all their n-grams is ever held
+    seen = np.zeros((2, SLOTS), np.int32)
+    for t, y in zip(texts, toxic, strict=True):
+        seen[int(y), np.unique(np.concatenate([none, *grams(t)]))] += 1
     n_toxic, n_clean = int(toxic.sum()), int((1 - toxic).sum())
     ratio = np.log((seen[1] + 1) / (n_toxic + 2)) - np.log((seen[0] + 1) / (n_clean + 2))
     total = seen.sum(axis=0)
     worth = np.where(total >= LEAST_DOCUMENTS, np.abs(ratio) * np.sqrt(total), 0)
     kept = np.sort(np.argsort(-worth, kind="stable")[:KEPT])
     kept = kept[worth[kept] > 0]
-    place = np.full(SLOTS, -1)
+    place = np.full(SLOTS, -1, np.int32)
     place[kept] = np.arange(kept.size)
-    rows, cols, values = [], [], []
-    for i, ((features, counts), text) in enumerate(zip(found, texts, strict=True)):
-        own = place[features] >= 0
-        rows.append(np.full(int(own.sum()), i))
-        cols.append(place[features[own]])
-        values.append(ratio[features[own]] * counts[own] / max(len(text), 1) ** 0.5)
-    row, col, value = np.concatenate(rows), np.concatenate(cols), np.concatenate(values)
-    scale = 1 / max(float(np.sqrt((value * value).mean())), 1e-12) if value.size else 1.0
-    value = value * scale
+    blocks, square, n_values = [], 0.0, 0
+    for at in range(0, len(texts), FIT_ROWS):
+        rows, cols, values = [none], [none], [np.empty(0)]
+        for i, text in enumerate(texts[at : at + FIT_ROWS]):
+            every = np.concatenate([none, *grams(text)])
+            features, counts = np.unique(every[place[every] >= 0], return_counts=True)
+            rows.append(np.full(features.size, i))
+            cols.append(place[features])
+            values.append(ratio[features] * counts / max(len(text), 1) ** 0.5)
+        value = np.concatenate(values)
+        square, n_values = square + float((value * value).sum()), n_values + value.size
+        blocks.append((at, np.concatenate(rows).astype(np.int16), np.concatenate(cols).astype(np.int32), value.astype(np.float32)))
+    scale = 1 / max((square / n_values) ** 0.5, 1e-12) if n_values else 1.0
     w, b = np.zeros(kept.size), 0.0
     m, v = np.zeros(kept.size + 1), np.zeros(kept.size + 1)
     for step in range(1, rounds + 1):
-        off = (sigmoid(np.bincount(row, value * w[col], len(texts)) + b) - toxic) / len(texts)
-        slope = np.append(np.bincount(col, value * off[row], kept.size) + shrink * w, off.sum())
+        slope = np.append(shrink * w, 0.0)
+        for at, row, col, value in blocks:
+            own = toxic[at : at + FIT_ROWS]
+            off = (sigmoid(np.bincount(row, value * w[col] * scale, own.size) + b) - own) / len(texts)
+            slope[:-1] += np.bincount(col, value * off[row] * scale, kept.size)
+            slope[-1] += off.sum()
         m, v = 0.9 * m + 0.1 * slope, 0.99 * v + 0.01 * slope * slope
         move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         w, b = w - move[:-1], b - move[-1]
@@ -133,14 +140,18 @@ def training_labels(labels: DataFrame, label: str) -> DataFrame:
     return ids.filter(F.col("id").isNotNull() & F.col("label").isin(0, 1) & ~held_out(F.col("id"))).groupBy("id").agg(F.max("label").alias("label"))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: dict[int, int], longest: int = LONGEST) -> DataFrame:
-    """(id, text, label): a bounded sample of the labelled training rows, by the hash of their ids."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: dict[int, int], longest: int = LONGEST, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """(id, text, label): a sample of the labelled training rows, by the hash of their ids, bounded in rows and bytes."""
     once = training_labels(labels, label)
     parts = [once.filter(F.col("label") == k).orderBy(F.xxhash64("id"), "id").limit(n) for k, n in sorted(most.items())]
     chosen = parts[0].union(parts[1])
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").filter(F.octet_length("text") <= longest)
-    # at most sum(most) rows of two numbers
-    return texts.join(F.broadcast(chosen), "id").dropDuplicates(["id"])
+    # at most sum(most) rows of a few numbers
+    sizes = texts.select("id", F.octet_length("text").alias("n")).join(F.broadcast(chosen), "id").groupBy("id", "label").agg(
+        F.max("n").alias("n"), F.xxhash64("id").alias("h")).orderBy("h", "id").collect()
+    upto = np.searchsorted(np.cumsum([r["n"] for r in sizes]), most_bytes, "right")
+    within = docs.sparkSession.createDataFrame([(r["id"], r["label"]) for r in sizes[:upto]], "id long, label int")
+    return texts.join(F.broadcast(within), "id").dropDuplicates(["id"])
 
 
 def prior_shift(labels: DataFrame, label: str, sample: np.ndarray) -> float:
