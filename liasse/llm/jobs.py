@@ -45,6 +45,10 @@ def op7_rules(spark: SparkSession, d: str) -> DataFrame:
     return rules.report(_table(spark, d, "documents"))
 
 
+def rule_ablations(spark: SparkSession, d: str) -> DataFrame:
+    return rules.ablations(rules.ledger(_table(spark, d, "documents").select("text"), []))
+
+
 def op8_sharding(spark: SparkSession, d: str) -> DataFrame:
     return sharding.report(_table(spark, d, "documents"))
 
@@ -71,5 +75,6 @@ def op13_alignment(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_secrets, op2_licenses, op3_minhash, op4_quality, op5_bpe, op6_decontamination, op7_rules,
-                                   op8_sharding, op9_html, op10_toxicity, op11_phrases, op12_digest, op13_alignment)}
+                                   op8_sharding, op9_html, op10_toxicity, op11_phrases, op12_digest, op13_alignment,
+                                   rule_ablations)}
 ORACLE = oracles.ORACLE

@@ -115,4 +115,12 @@ ok AS (SELECT b.*, array_to_string(b.g, ' ') AS phrase FROM b WHERE NOT EXISTS (
 SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score::BIGINT AS score
 FROM ok JOIN n USING (lang) QUALIFY rank <= {phrases.TOP}"""
 
-ORACLE = {"op1_secrets": OP1, "op2_licenses": OP2, "op7_rules": OP7, "op11_phrases": OP11}
+_GRID = ", ".join(f"({_q(v)}, {_q(name)}, {mask}, {bit})" for v, mask in rules.POLICIES.items() for name, bit in rules.BIT.items() if mask & bit)
+
+ABLATIONS = f"""
+WITH book AS ({OP7}), p(version, rule, mask, bit) AS (VALUES {_GRID})
+SELECT version, rule, count(*) FILTER ((failed & mask) = 0) AS kept, count(*) FILTER ((failed & (mask - bit)) = 0) AS kept_without,
+       count(*) FILTER ((failed & mask) = bit) AS only_this
+FROM p LEFT JOIN book ON true GROUP BY version, rule"""
+
+ORACLE = {"op1_secrets": OP1, "op2_licenses": OP2, "op7_rules": OP7, "rule_ablations": ABLATIONS, "op11_phrases": OP11}
