@@ -175,8 +175,8 @@ _STATS = f"""
 tok AS (SELECT doc_id, {duck.tokens('text')} AS ts FROM documents),
 size AS (SELECT count(*) AS n, sum(len(ts)) / count(*) AS avg_len FROM tok),
 df AS (SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest(ts) AS term FROM tok) GROUP BY term),
-raw AS (SELECT term, df, n, avg_len, ln(n - df + 0.5) - ln(df + 0.5) AS r FROM df, size),
-mean AS (SELECT avg(r) AS m FROM raw),
+raw AS MATERIALIZED (SELECT term, df, n, avg_len, ln(n - df + 0.5) - ln(df + 0.5) AS r FROM df, size),
+mean AS MATERIALIZED (SELECT avg(r) AS m FROM raw),
 w AS (SELECT term, df, n, avg_len, CASE WHEN r < 0 THEN 0.25 * m ELSE r END AS idf FROM raw, mean)"""
 
 
