@@ -9,9 +9,10 @@ their distributions. Bands of slots give candidates, the exact probability
 Jaccard verifies them.
 
 Texts that share a band are not paired with each other: each is held against
-the smallest text of the band (its pivot), verified links are merged into
-groups, and only texts of a band which are still in different groups meet
-afterwards. Those meetings are pruned by the triangle inequality, which the
+the most central text of the band (its pivot: the one that meets most others
+over all its bands), verified links are merged into groups, the texts of bands with several groups are held against the most central
+text of the largest one, and only texts of a band which are still in different
+groups meet afterwards. Those meetings are pruned by the triangle inequality, which the
 distance (1 - probability Jaccard) obeys, with the known distances to the
 pivot, and by the share of slots on which the signatures agree: a pair is
 verified from ``SIMILARITY - MARGIN`` on. A pair of just that similarity fails
@@ -189,6 +190,25 @@ def components(links: DataFrame) -> DataFrame:
     return roots
 
 
+def _mains(buckets: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of the buckets with their roots, and (band, main, groups): the largest group of each band and how many it has."""
+    full = staged(buckets.join(roots, "node", "left").select(*buckets.columns, F.coalesce("root", "node").alias("root")))
+    per = full.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"))
+    return full, per.groupBy("band").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.count(F.lit(1)).alias("groups"))
+
+
+def _by_group(buckets: DataFrame, roots: DataFrame, central: DataFrame) -> DataFrame:
+    """The bands that hold several groups, with the most central text of their largest group as pivot.
+
+    That text stands for its group in all bands, so each text of these bands is
+    held against it once, and its distances are known in every one of them.
+    """
+    full, mains = _mains(buckets, roots)
+    heads = central.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("main")).agg(F.max(F.struct("met", "node"))["node"].alias("pivot"))
+    open_bands = mains.filter("groups > 1").join(heads, "main").select("band", "pivot")
+    return staged(full.drop("pivot", "root").join(open_bands, "band"))
+
+
 def _meetings(buckets: DataFrame, near: DataFrame, roots: DataFrame, one: DataFrame, threshold: float, margin: float, slots: int) -> DataFrame:
     """Pairs of a band that are still in different groups and may be similar, each from the first band it shares.
 
@@ -198,10 +218,7 @@ def _meetings(buckets: DataFrame, near: DataFrame, roots: DataFrame, one: DataFr
     threshold - margin.
     """
     known = near.select(F.col("a").alias("node"), F.col("b").alias("pivot"), (1 - F.col("similarity")).alias("far"))
-    full = staged(buckets.join(known, ["node", "pivot"], "left").join(roots, "node", "left")
-                  .select("no", "band", "node", "pivot", F.coalesce("root", "node").alias("root"), F.coalesce("far", F.lit(0.0)).alias("far")))
-    per = full.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"))
-    main = per.groupBy("band").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.count(F.lit(1)).alias("groups"))
+    full, main = _mains(buckets.join(known, ["node", "pivot"], "left").withColumn("far", F.coalesce("far", F.lit(0.0))), roots)
     sides = staged(full.join(main.filter("groups > 1").select("band", "main"), "band").filter("node <> pivot")
                    .join(one.select(F.col("text_key").alias("node"), "sig", "bands"), "node"))
     side = sides.filter("root <> main").select(
@@ -230,13 +247,19 @@ def near_duplicates(docs: DataFrame, text: str = "text", bands: int = BANDS, row
     one = drawn.join(ids.withColumnRenamed("copy_id", "_id"), "text_key").filter(F.col("doc_id").eqNullSafe(F.col("_id")))
     one = staged(one.dropDuplicates(["text_key"]).select("text_key", "sig", "bands"))
     spread = one.select(F.col("text_key").alias("node"), F.posexplode("bands").alias("no", "band"))
-    pivots = spread.groupBy("band").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    buckets = staged(spread.join(pivots.select("band", "pivot"), "band"))
+    shared = staged(spread.join(spread.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "band"))
+    central = staged(shared.groupBy("node").agg(F.sum("n").alias("met")))
+    pivots = shared.join(central, "node").groupBy("band").agg(F.max(F.struct("met", "node"))["node"].alias("pivot"))
+    buckets = staged(shared.drop("n").join(pivots, "band"))
     star = staged(buckets.filter("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct())
     texts = texts_of(star, base, ids)  # later pairs have no others
     near = staged(verified(star, texts))
     links = near.filter(F.col("similarity") >= threshold)
     roots = components(links)
+    buckets = _by_group(buckets, roots, central)
+    near = staged(verified(staged(buckets.filter("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()), texts))
+    links = links.unionByName(near.filter(F.col("similarity") >= threshold))
+    roots = components(links)
     more = staged(verified(staged(_meetings(buckets, near, roots, one, threshold, margin, slots)), texts)).filter(F.col("similarity") >= threshold)
     if not more.isEmpty():
         links = links.unionByName(more)

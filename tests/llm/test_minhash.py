@@ -97,6 +97,21 @@ def test_groups_as_by_brute_force(spark):
     assert groups(minhash.near_duplicates(df)) == brute_groups(rows)
 
 
+def test_a_spectrum_of_variants_as_by_brute_force(spark):
+    rng = np.random.default_rng(7)
+    vocab = [f"w{i}" for i in range(4000)]
+    base = [vocab[i] for i in rng.integers(0, 4000, 150)]
+    rows = []
+    for i in range(500):  # from near the first text to far from it
+        words = list(base)
+        for k in rng.integers(0, 150, int(rng.integers(0, 1 + i // 20))):
+            words[k] = vocab[rng.integers(0, 4000)]
+        rows.append((i, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = brute_groups(rows)
+    assert 20 < len(want) < 480 and groups(minhash.near_duplicates(df)) == want
+
+
 def test_long_chains_are_one_component(spark):
     pairs = [(f"{i:04d}".encode(), f"{(i * 7 + 7) % 1000:04d}".encode()) for i in range(0, 400)]
     pairs += [(f"{i:04d}".encode(), f"{i + 1:04d}".encode()) for i in range(500, 560)]
