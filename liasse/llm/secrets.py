@@ -19,10 +19,13 @@ whole; rows are neither dropped nor merged; an empty table gives an empty one.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from liasse.functions.text import let
+
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
@@ -30,6 +33,8 @@ KINDS = ("assign", "access", "hex", "entropy")
 
 WINDOW = 20
 UNIT = 1 << 20
+STEP = 256
+BLOCK = 2048
 HEX_DIGITS = "0123456789ABCDEF"
 BASE64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: Class: the pattern of its candidates, its symbols, the bits from which a window counts.
@@ -45,20 +50,64 @@ ALLOWED = [
 SPANS = "array<struct<start:int,kind:int,stop:int>>"
 
 
-def _spans(text: Column, pattern: str, kind: int, least: int = 0, group: int = 0) -> Column:
-    """Spans of all matches whose ``group`` has at least ``least`` characters."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    sizes = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), F.length) if group else None
-    parts = F.zip_with(F.slice(F.split(text, pattern, -1), 1, F.size(found)), found,
-                       lambda gap, hit: F.struct(F.length(gap).alias("gap"), F.length(hit).alias("hit")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,stop:int>>").alias("out"))
-    placed = F.aggregate(parts, start, lambda s, p: F.struct(
-        (s["at"] + p["gap"] + p["hit"]).alias("at"),
-        F.concat(s["out"], F.array(F.struct((s["at"] + p["gap"]).alias("start"), (s["at"] + p["gap"] + p["hit"]).alias("stop")))).alias("out")))["out"]
+def _running(df: DataFrame, out: str, values: Column, merge: Callable) -> DataFrame:
+    """``df`` with the running fold of an array of whole numbers.
+
+    A fold that grows an array copies it at every step, so blocks of ``STEP``
+    values are folded by themselves and then moved on by what stands before
+    them.
+    """
+    def fold(block: Column) -> Column:
+        start = F.struct(F.lit(None).cast("int").alias("last"), F.array().cast("array<int>").alias("out"))
+        new = lambda s, v: F.coalesce(merge(s["last"], v), v).cast("int")
+        return F.aggregate(block, start, lambda s, v: F.struct(new(s, v).alias("last"), F.concat(s["out"], F.array(new(s, v))).alias("out")))["out"]
+
+    cuts = lambda vs: F.sequence(F.lit(1), F.greatest(F.size(vs), F.lit(1)), F.lit(STEP))
+    df = df.withColumn("_blocks", let(values, lambda vs: F.transform(cuts(vs), lambda c: fold(F.slice(vs, c, F.lit(STEP))))))
+    df = df.withColumn("_tops", fold(F.transform("_blocks", lambda x: F.coalesce(F.try_element_at(x, F.lit(-1)), F.lit(0)))))
+    moved = let(F.col("_tops"), lambda t: F.flatten(F.transform("_blocks", lambda x, k: F.when(k == 0, x).otherwise(
+        F.transform(x, lambda v: merge(F.get(t, k - 1), v).cast("int"))))))
+    return df.withColumn(out, moved).drop("_blocks", "_tops")
+
+
+def _placed(df: DataFrame, out: str, text: Column, pattern: str, least: int = 0, group: int = 0) -> DataFrame:
+    """``df`` with (start, stop, piece) of all matches whose ``group`` has at least ``least`` characters."""
+    none = F.array().cast("array<string>")
+    df = df.withColumn("_found", F.when(text.rlike(pattern), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(none))
+    gaps = F.when(F.size("_found") > 0, F.slice(F.split(text, pattern, -1), 1, F.size("_found"))).otherwise(none)
+    df = _running(df, "_ends", F.zip_with(gaps, "_found", lambda gap, hit: F.length(gap) + F.length(hit)), lambda a, b: a + b)
+    every = let(F.col("_ends"), lambda ends: F.transform("_found", lambda hit, i: F.struct(
+        (F.get(ends, i) - F.length(hit)).alias("start"), F.get(ends, i).alias("stop"), hit.alias("piece"))))
+    df = df.withColumn(out, every)
     if group:
-        placed = F.transform(F.filter(F.arrays_zip(placed.alias("p"), sizes.alias("n")), lambda x: x["n"] >= least), lambda x: x["p"])
-    as_span = F.transform(placed, lambda p: F.struct(p["start"].alias("start"), F.lit(kind).alias("kind"), p["stop"].alias("stop")))
-    return F.when(text.rlike(pattern), as_span.cast(SPANS)).otherwise(F.array().cast(SPANS))
+        sizes = F.when(F.size("_found") > 0, F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), F.length)).otherwise(F.array().cast("array<int>"))
+        df = df.withColumn(out, let(sizes, lambda n: F.filter(out, lambda x, i: F.get(n, i) >= least)))
+    return df.drop("_found", "_ends")
+
+
+def _outside(df: DataFrame, out: str, base: str, spans: Column) -> DataFrame:
+    """``df`` with the spans (start, stop, piece), in order, that no span of ``base`` holds.
+
+    Of the base spans that begin no later than a span, one holds it if the
+    largest end among them is not before its end.
+    """
+    one = lambda s, own, piece: F.struct(s["start"].alias("start"), F.lit(own).alias("own"), s["stop"].alias("stop"), piece.alias("piece"))
+    df = df.withColumn("_both", F.array_sort(F.concat(F.transform(base, lambda s: one(s, 0, F.lit(""))), F.transform(spans, lambda s: one(s, 1, s["piece"])))))
+    df = _running(df, "_far", F.transform("_both", lambda x: F.when(x["own"] == 0, x["stop"]).otherwise(-1)), F.greatest)
+    free = let(F.col("_far"), lambda far: F.filter("_both", lambda x, i: (x["own"] == 1) & (F.get(far, i) < x["stop"])))
+    return df.withColumn(out, free).drop("_both", "_far")
+
+
+def _joined(df: DataFrame, out: str, spans: Column) -> DataFrame:
+    """``df`` with sorted spans, those that meet made one: one begins where a start is beyond all ends before it."""
+    df = _running(df.withColumn("_sorted", F.array_sort(spans)), "_far", F.transform(F.array_sort(spans), lambda x: x["stop"]), F.greatest)
+    begins = let(F.col("_far"), lambda far: F.filter(
+        F.transform("_sorted", lambda x, i: F.when((i == 0) | (x["start"] > F.get(far, i - 1)), i)), lambda i: i.isNotNull()))
+    df = df.withColumn("_begins", begins)
+    runs = let(F.struct(F.col("_sorted").alias("s"), F.col("_far").alias("f"), F.col("_begins").alias("b")), lambda c: F.transform(c["b"], lambda i, k: F.struct(
+        F.get(c["s"], i)["start"].alias("start"), F.get(c["s"], i)["kind"].alias("kind"),
+        F.get(c["f"], F.coalesce(F.get(c["b"], k + 1), F.size(c["s"])) - 1).alias("stop"))))
+    return df.withColumn(out, runs.cast(SPANS)).drop("_sorted", "_far", "_begins")
 
 
 def weights() -> list[int]:
@@ -71,11 +120,10 @@ def limit(bits: float) -> int:
     return math.floor(WINDOW * (math.log2(WINDOW) - bits) * UNIT)
 
 
-def _hot_windows(piece: Column, symbols: str, bits: float) -> Column:
-    """Starts (0-based) of the windows of a candidate that have the bits, by incremental counts."""
+def _hot_block(places: Column, symbols: str, bits: float) -> Column:
+    """(start, stop) of the windows of a block of symbols that have the bits, those that meet made one, by incremental counts."""
     table = F.array(*[F.lit(w) for w in weights()])
     value = lambda c: F.element_at(table, c + 1)
-    places = F.transform(F.split(piece, ""), lambda ch: F.instr(F.lit(symbols), ch))
     zero = F.array_repeat(F.lit(0), len(symbols))
 
     def moved(s: Column, place: Column, by: int) -> Column:
@@ -84,54 +132,63 @@ def _hot_windows(piece: Column, symbols: str, bits: float) -> Column:
         return F.struct(
             F.concat(F.slice(s["counts"], F.lit(1), place - 1), F.array(old + by),
                      F.slice(s["counts"], place + 1, F.lit(len(symbols)))).alias("counts"),
-            (s["sum"] - value(old) + value(old + by)).alias("sum"), s["hot"].alias("hot"))
+            (s["sum"] - value(old) + value(old + by)).alias("sum"))
+
+    def closed(s: Column) -> Column:
+        return F.when(s["begin"] < 0, s["done"]).otherwise(F.concat(s["done"], F.array(F.struct(s["begin"].alias("start"), s["end"].alias("stop")))))
 
     def step(s: Column, i: Column) -> Column:
+        def noted(x: Column) -> Column:
+            hot = (i >= WINDOW) & (x["sum"] <= limit(bits))
+            new = hot & (i - WINDOW > s["end"])
+            return F.struct(
+                x["counts"].alias("counts"), x["sum"].alias("sum"), F.when(new, i - WINDOW).otherwise(s["begin"]).alias("begin"),
+                F.when(hot, i).otherwise(s["end"]).alias("end"), F.when(new, closed(s)).otherwise(s["done"]).alias("done"))
+
         added = F.transform(F.array(s), lambda x: moved(x, F.element_at(places, i), 1))
         slid = F.transform(added, lambda x: F.when(i > WINDOW, moved(x, F.element_at(places, F.greatest(i - WINDOW, F.lit(1))), -1)).otherwise(x))
-        return F.element_at(F.transform(slid, lambda x: F.struct(
-            x["counts"].alias("counts"), x["sum"].alias("sum"),
-            F.when((i >= WINDOW) & (x["sum"] <= limit(bits)), F.concat(x["hot"], F.array(i - WINDOW))).otherwise(x["hot"]).alias("hot"))), 1)
-
-    begin = F.struct(zero.alias("counts"), F.lit(0).alias("sum"), F.array().cast("array<int>").alias("hot"))
-    return F.aggregate(F.sequence(F.lit(1), F.length(piece)), begin, step)["hot"]
+        return F.element_at(F.transform(slid, noted), 1)
 
+    begin = F.struct(zero.alias("counts"), F.lit(0).alias("sum"), F.lit(-1).alias("begin"), F.lit(-1).alias("end"),
+                     F.array().cast("array<struct<start:int,stop:int>>").alias("done"))
+    return F.aggregate(F.sequence(F.lit(1), F.size(places)), begin, step, closed)
 
-def _joined(spans: Column) -> Column:
-    """Sorted spans with overlapping ones made one."""
-    empty = F.array().cast(SPANS)
-    return F.aggregate(F.array_sort(spans), empty, lambda out, s: F.when(
-        (F.size(out) > 0) & (F.element_at(out, F.greatest(F.size(out), F.lit(1)))["stop"] >= s["start"]),
-        F.concat(F.slice(out, F.lit(1), F.size(out) - 1), F.array(F.struct(
-            F.element_at(out, -1)["start"].alias("start"), s["kind"].alias("kind"),
-            F.greatest(F.element_at(out, -1)["stop"], s["stop"]).alias("stop"))))).otherwise(F.concat(out, F.array(s))))
 
+def _entropy_spans(df: DataFrame, out: str, text: Column, name: str, base: str, allowed: list[str]) -> DataFrame:
+    """``df`` with the spans of high entropy in the candidates of a class.
 
-def _entropy_spans(text: Column, name: str, base: Column, allowed: list[str]) -> Column:
+    A candidate's windows are gone through in blocks of ``BLOCK`` starts, so
+    that what a fold has found so far stays short however long the candidate is.
+    """
     pattern, symbols, bits = CLASSES[name]
-    upper = name == "hex"
-    placed = F.transform(_spans(text, pattern, 3), lambda s: F.struct(
-        s["start"].alias("start"), s["stop"].alias("stop"), F.substring(text, s["start"] + 1, s["stop"] - s["start"]).alias("piece")))
     suppressed = "|".join(f"(?:{a})" for a in allowed)
     ok = lambda p: ~p["piece"].rlike(suppressed) if allowed else F.lit(True)
-    free = lambda p: ~F.exists(base, lambda b: (b["start"] <= p["start"]) & (b["stop"] >= p["stop"]))
-    open_ones = F.filter(placed, lambda p: ok(p) & free(p))
-    hot = F.flatten(F.transform(open_ones, lambda p: F.transform(
-        _hot_windows(F.upper(p["piece"]) if upper else p["piece"], symbols, bits),
-        lambda i: F.struct((p["start"] + i).alias("start"), F.lit(3).alias("kind"), (p["start"] + i + WINDOW).alias("stop")))))
-    return F.when(text.rlike(pattern), hot.cast(SPANS)).otherwise(F.array().cast(SPANS))
+    df = _placed(df, "_candidates", text, pattern)
+    df = _outside(df, "_open", base, F.filter("_candidates", ok))
+    places = lambda p: F.slice(F.transform(F.split(F.upper(p["piece"]) if name == "hex" else p["piece"], ""),
+                                           lambda ch: F.instr(F.lit(symbols), ch)), F.lit(1), F.length(p["piece"]))
+    starts = lambda ps: F.sequence(F.lit(0), F.greatest(F.size(ps) - WINDOW, F.lit(0)), F.lit(BLOCK))
+    parts = F.flatten(F.transform("_open", lambda p: let(places(p), lambda ps: F.transform(starts(ps), lambda at: F.struct(
+        (p["start"] + at).alias("at"), F.slice(ps, at + 1, F.lit(BLOCK + WINDOW - 1)).alias("places"))))))
+    df = df.withColumn("_parts", parts)
+    hot = F.flatten(F.transform("_parts", lambda b: F.transform(_hot_block(b["places"], symbols, bits), lambda r: F.struct(
+        (b["at"] + r["start"]).alias("start"), F.lit(3).alias("kind"), (b["at"] + r["stop"]).alias("stop")))))
+    return df.withColumn(out, hot.cast(SPANS)).drop("_candidates", "_open", "_parts")
 
 
 def found(df: DataFrame, text: str = "text", allowed: list[str] | None = None) -> DataFrame:
     """``df`` with ``_base`` and ``_spans``: arrays of (start, kind, stop), the second one with the high-entropy spans too."""
     allowed = ALLOWED if allowed is None else allowed
     t = F.coalesce(F.col(text), F.lit(""))
-    base = F.array_sort(F.concat(_spans(t, ASSIGN, 0, 6, 2), _spans(t, ACCESS, 1), _spans(t, HEX, 2)))
-    df = df.withColumn("_base", base)
-    hot = F.concat(*[_entropy_spans(t, name, F.col("_base"), allowed) for name in CLASSES])
-    inside = lambda s: F.exists("_base", lambda b: (b["start"] <= s["start"]) & (b["stop"] >= s["stop"]))
-    extra = F.when(t.rlike(CLASSES["base64"][0]), F.filter(_joined(hot), lambda s: ~inside(s))).otherwise(F.array().cast(SPANS))
-    return df.withColumn("_spans", F.array_sort(F.concat("_base", extra)))
+    as_span = lambda c, kind: F.transform(c, lambda p: F.struct(p["start"].alias("start"), F.lit(kind).alias("kind"), p["stop"].alias("stop"))).cast(SPANS)
+    for kind, (pattern, least, group) in enumerate(((ASSIGN, 6, 2), (ACCESS, 0, 0), (HEX, 0, 0))):
+        df = _placed(df, f"_of{kind}", t, pattern, least, group)
+    df = df.withColumn("_base", F.array_sort(F.concat(*[as_span(f"_of{k}", k) for k in range(3)]))).drop("_of0", "_of1", "_of2")
+    for name in CLASSES:
+        df = _entropy_spans(df, f"_hot_{name}", t, name, "_base", allowed)
+    df = _joined(df, "_hot", F.concat(*[f"_hot_{name}" for name in CLASSES])).drop(*[f"_hot_{name}" for name in CLASSES])
+    df = _outside(df, "_extra", "_base", F.transform("_hot", lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), F.lit("").alias("piece"))))
+    return df.withColumn("_spans", F.array_sort(F.concat("_base", as_span("_extra", 3)))).drop("_hot", "_extra")
 
 
 def written(spans: Column) -> Column:
@@ -152,8 +209,19 @@ def report(docs: DataFrame, **options) -> DataFrame:
 def redacted(docs: DataFrame, text: str = "text", mark: str = "[secret]", **options) -> DataFrame:
     """``docs`` with every span replaced by the mark; null texts stay null."""
     got = found(docs.select(F.struct(*docs.columns).alias("row"), F.col(text).alias("text")), "text", **options)
-    t = F.col("text")
-    kept = F.aggregate(_joined(F.col("_spans")), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), lambda s, x: F.struct(
-        x["stop"].alias("at"), F.concat(s["out"], F.substring(t, s["at"] + 1, x["start"] - s["at"]), F.lit(mark)).alias("out")),
-        lambda s: F.concat(s["out"], F.substring(t, s["at"] + 1, F.length(t))))
+    got, t = _joined(got, "_runs", F.col("_spans")), F.col("text")
+
+    def cut(runs: Column) -> Column:
+        """What stands between the spans, with the mark for each; the text is cut per ``STEP`` spans first, so that no cut counts from its start."""
+        before = lambda i: F.coalesce(F.get(runs, i - 1)["stop"], F.lit(0))
+        last = F.element_at(runs, -1)["stop"]
+
+        def block(c: Column) -> Column:
+            stop = F.element_at(runs, F.least(c + STEP, F.size(runs)))["stop"]
+            return let(before(c), lambda at: let(F.substring(t, at + 1, stop - at), lambda part: F.array_join(F.transform(
+                F.slice(runs, c + 1, F.lit(STEP)), lambda x, i: F.concat(F.substring(part, before(c + i) - at + 1, x["start"] - before(c + i)), F.lit(mark))), "")))
+
+        return F.concat(F.array_join(F.transform(F.sequence(F.lit(0), F.size(runs) - 1, F.lit(STEP)), block), ""), F.substring(t, last + 1, F.length(t)))
+
+    kept = let(F.col("_runs"), cut)
     return got.select(*[F.when(F.size("_spans") > 0, kept).otherwise(t).alias(c) if c == text else F.col(f"row.`{c}`") for c in docs.columns])

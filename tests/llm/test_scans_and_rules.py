@@ -3,9 +3,11 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from liasse.llm import licenses, rules, secrets, sharding
@@ -45,7 +47,10 @@ def written(spans):
     return ",".join(f"{KIND[k]}:{a}:{b}" for a, k, b in spans)
 
 
-def test_secrets_as_by_brute_force(spark):
+@pytest.mark.parametrize("step, block", [(secrets.STEP, secrets.BLOCK), (2, 3)])
+def test_secrets_as_by_brute_force(spark, monkeypatch, step, block):
+    monkeypatch.setattr(secrets, "STEP", step)
+    monkeypatch.setattr(secrets, "BLOCK", block)
     rnd = random.Random(3)
     bits = ["token=token:abcdefg", "TOKEN = 'x1'", "api-key", "apikey:abc=def", "AKIA" + "Z9" * 8, "AKIA123", "deadbeef" * 4, "0123456789ABCDEF0123CAFE", "é\U0001f600", " ", "\n",
             "a" * 30, "Password : \"p4ss/w0rd+longer\"", "https://host/path", "550e8400-e29b-41d4-a716-446655440000", "example_Qx7Zk29LmPfT3vWb8RyUo", "plainlowercaselettersonlyhere"]
@@ -74,6 +79,25 @@ def test_secrets_as_by_brute_force(spark):
         assert red[i] == out + t[at:]
 
 
+def test_secrets_of_very_long_texts(spark):
+    rnd = random.Random(5)
+    run = "".join(rnd.choices(secrets.BASE64, k=1_000_000))
+    many = " ".join(f"password = {rnd.randrange(10**9):x}zzzzzz" for _ in range(100_000))
+    df = spark.createDataFrame([(1, run), (2, many)], "doc_id long, text string")
+    start = time.time()
+    got = {r["doc_id"]: r for r in secrets.report(df).collect()}
+    assert time.time() - start < 120
+    assert got[2]["n_assign"] == 100_000 and got[2]["base_sha256"] == hashlib.sha256(written(base_spans(many)).encode()).hexdigest()
+    hot = [tuple(map(int, s.split(":")[1:])) for s in got[1]["spans"].split(",") if s.startswith("entropy")]
+    covered = {i for a, b in hot for i in range(a, b)}
+    for i in rnd.sample(range(len(run) - secrets.WINDOW), 2000):
+        c = collections.Counter(run[i : i + secrets.WINDOW])
+        if -sum(n / secrets.WINDOW * math.log2(n / secrets.WINDOW) for n in c.values()) >= 3.9:
+            assert covered.issuperset(range(i, i + secrets.WINDOW))
+    red = {r["doc_id"]: r["text"] for r in secrets.redacted(df).collect()}
+    assert red[2] == " ".join(["[secret]"] * 100_000)
+
+
 def test_secrets_of_odd_input(spark):
     docs = odd_documents(spark)
     got = {r["doc_id"]: r for r in secrets.report(docs).collect()}
