@@ -16,8 +16,8 @@ def _stored(spark: SparkSession, root: str, name: str) -> DataFrame | None:
     return corpus.read_table(spark, root, name) if path_exists(spark, f"{root}/{name}") else None
 
 
-def ingest_batch(spark: SparkSession, pages: DataFrame, root: str, batch: str) -> None:
-    """Add the new documents of a batch; known content is skipped, ordinals go on.
+def ingest_batch(spark: SparkSession, pages: DataFrame, root: str, batch: str, by_name: bool = False) -> None:
+    """Add the new documents of a batch; known content is skipped (``by_name``: under the same name only), ordinals go on.
 
     The new pages and the packed pages are written once under ``staging``, so
     no later step reads the source again. Both corpus tables are partitioned
@@ -27,7 +27,7 @@ def ingest_batch(spark: SparkSession, pages: DataFrame, root: str, batch: str) -
     known, stored = _stored(spark, root, "documents"), _stored(spark, root, "chunks")
     if known is not None:
         known = known.filter(F.col("batch") != batch)
-    fresh = corpus.ingest_incremental(corpus.valid_cases(pages), known)
+    fresh = corpus.ingest_incremental(corpus.valid_cases(pages), known, by_name)
     staged = f"{root}/staging/{batch}"
     fresh.write.mode("overwrite").parquet(f"{staged}/pages")
     new = spark.read.parquet(f"{staged}/pages").drop("content_hash")

@@ -101,6 +101,20 @@ def test_ingest_twice_adds_nothing(spark, tmp_path):
     assert [r.case_id for r in corpus.list_cases(docs).collect()] == ["c"] and corpus.list_units(docs).count() == 2
 
 
+def test_ingest_by_name_keeps_equal_and_empty_files(spark, tmp_path):
+    root = str(tmp_path / "corpus")
+    one = _pages(spark, [("c", "a.txt", 1, "RAPPORT un. Fin."), ("c", "vide1.txt", 1, "")])
+    ingest_batch(spark, one, root, "b1", by_name=True)
+    more = _pages(spark, [("c", "copie.txt", 1, "RAPPORT un. Fin."), ("c", "vide2.txt", 1, ""), ("c", "vide2.txt", 2, "")])
+    ingest_batch(spark, one.unionByName(more), root, "b2", by_name=True)
+    docs = {r.source: r for r in corpus.read_table(spark, root, "documents").collect()}
+    assert {s: (r.batch, r.n_pages, r.n_chunks > 0, len(r.units)) for s, r in docs.items()} == {
+        "a.txt": ("b1", 1, True, 1), "vide1.txt": ("b1", 1, False, 1), "copie.txt": ("b2", 1, True, 1), "vide2.txt": ("b2", 2, False, 1)}
+    assert docs["vide1.txt"].content_hash and docs["vide1.txt"].doc_type == "document"
+    ords = sorted(r.chunk_ord for r in corpus.read_chunks(spark, root, ["c"]).collect())
+    assert ords == list(range(len(ords)))
+
+
 def test_stream_ingests_each_content_once(spark, tmp_path):
     src, root = str(tmp_path / "in"), str(tmp_path / "corpus")
     _pages(spark, [("c", "a.txt", 1, "Un texte.")]).coalesce(1).write.parquet(src)
