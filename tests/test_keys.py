@@ -83,3 +83,37 @@ def test_joins_agree_on_rows_that_come_twice(spark):
     words = [sorted(map(tuple, word_join(texts, pats, ["case_id"], "text", "pat", ["case_id", "chunk_ord"], small).select(
         "case_id", "chunk_ord", "text", "pat").collect())) for small in (True, False)]
     assert words[0] == words[1] and len(words[0]) == 6
+
+
+def test_key_joins_against_brute_force(spark):
+    """Strings of every length, with accents, inside and across windows, in several cases; few rows pass the bit table."""
+    import random
+
+    from liasse.plans import keys as filters
+    from liasse.plans.matching import contained_ids, contains_join, word_join, words
+
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choice("abé d1") for _ in range(n))
+    texts = [(rng.choice("cde"), i, word(rng.choice([0, 1, 3, 4, 7, 40, 90]))) for i in range(300)] + [("c", 300, None), (None, 301, "abcdabcd"), ("c", 302, "x" * 300_000 + "jean dupont17")]
+    pats = {(rng.choice("cde"), word(rng.randint(1, 9))) for _ in range(150)} | {("c", "x" * n) for n in range(1, 20)}
+    pats |= {(c, t[i:i + n]) for c, _, t in texts[:300] for n in (2, 5, 8, 12, 13, 16, 21) for i in (0, len(t) - n) if i >= 0}
+    pats = [(c, k, p) for k, (c, p) in enumerate(sorted(pats))] + [("c", 9000, "jean dupont1"), ("c", 9001, "jean dupont17"), ("c", 9002, "jean dupont17"), (None, 9003, "abcd"), ("c", 9004, None), ("c", 9005, "")]
+    df = spark.createDataFrame(texts, "case_id string, chunk_ord bigint, text string")
+    pf = spark.createDataFrame(pats, "case_id string, id bigint, pat string")
+    want = {(i, k) for c, i, t in texts for pc, k, p in pats if c is not None and c == pc and t and p and p in t}
+    got = [(r.chunk_ord, r.id) for r in contains_join(df, pf, ["case_id"], "text", "pat", ["case_id", "chunk_ord"], False).select("chunk_ord", "id").collect()]
+    assert len(got) == len(want) and set(got) == want
+    rows = contained_ids(df, pf, ["case_id"], "text", "pat", "id", ["case_id", "chunk_ord"], "ids", False).collect()
+    assert len(rows) == len(texts) and {(r.chunk_ord, k) for r in rows for k in r.ids} == want
+
+    told = word_join(df, pf, ["case_id"], "text", "pat", ["case_id", "chunk_ord"], False).select("chunk_ord", "id").collect()
+    every = df.withColumn("w", F.explode(words(F.lower("text")))).join(pf.withColumnRenamed("pat", "w"), ["case_id", "w"]).select("chunk_ord", "id").collect()
+    assert sorted(map(tuple, told)) == sorted(map(tuple, every)) and told
+
+    names = spark.range(2000).select(F.lit("c").alias("case_id"), F.concat(F.lit("jean dupont"), F.col("id").cast("string")).alias("pat"))
+    pages = spark.range(1000).select(F.lit("c").alias("case_id"), F.col("id").alias("chunk_ord"), F.concat(
+        F.repeat(F.sha2(F.col("id").cast("string"), 256), 4), F.when(F.col("id") % 10 == 0, F.concat(F.lit(" jean dupont"), F.col("id").cast("string")))
+        .otherwise("")).alias("text"))
+    keyed = filters.own_keys(names, ["case_id"], "pat")
+    passed = filters.candidates(pages, keyed, ["case_id"], "text", "pat").count()
+    assert 100 <= passed <= 600  # 1 000 texts of 256 characters and more; 100 of them hold names, each up to three
