@@ -140,3 +140,24 @@ def test_plans(spark, sf):
         assert not re.search("Python|Pandas|CartesianProduct", plan), name
         assert "BroadcastNestedLoopJoin" not in plan, name
         assert "Exchange SinglePartition" not in plan, name
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_pass_over_the_texts_for_each_person_query(spark):
+    """Texts are folded once where names are looked for, and names are looked for once per query."""
+    texts = ["Première audition de Jean Dupont, demeurant au 4 rue B.", "Jean Dupont, domicilié au 4 rue B. et demeurant au 5 rue C.", "", None]
+    df = spark.createDataFrame([("c", "s", i, i, t) for i, t in enumerate(texts)], CHUNK)
+    who = people(spark, [(1, "c", "Jean Dupont", [])])
+    found = P.mentions(df, who)
+    assert _plan(found).count("translate(") == 1
+    assert _plan(P.mentions(df, who, False)).count("translate(lower(text") <= 1
+    assert _plan(P.civil_snippets(df, who)).count("MapInArrow") == 1
+    assert _plan(P.address_vote(P.address_snippets(df, who))).count("MapInArrow") == 1
+    snips = spark.createDataFrame([(1, "c", 1, "s", 1, 1, 0, "u", None, None, t, 1.0) for t in ("garde à vue", "", " ")],
+                                  "person_id long, case_id string, rank int, source string, page int, chunk_ord long, unit_index int, unit_title string, doc_date string, doc_type string, text string, score double")
+    shown = evidence.classify_evidence(snips)
+    assert _plan(shown).count("translate(") == 1
+    assert {r.category for r in shown.collect()} == {"gav"}
