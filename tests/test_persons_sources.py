@@ -161,3 +161,18 @@ def test_a_pass_over_the_texts_for_each_person_query(spark):
     shown = evidence.classify_evidence(snips)
     assert _plan(shown).count("translate(") == 1
     assert {r.category for r in shown.collect()} == {"gav"}
+
+
+def test_sentences_are_dealt_by_person_once(spark):
+    texts = ["Jean Dupont nie. Jean Dupont nie ! Dupont, dit Petit, avoue le 3 mai 2020.", "jean dupont NIE. Dupont avoue le 3 mai 2020.", "Rien. Le petit pont."]
+    df = spark.createDataFrame([("c", "s", i, i, t) for i, t in enumerate(texts)], CHUNK)
+    who = people(spark, [(1, "c", "Jean Dupont", ["Dupont", "Petit"]), (2, "c", "Luc Dupont", ["Dupont"])])
+    rows, events = evidence.sentence_analysis(df, who)
+    cut = [(0, 0, "Jean Dupont nie."), (0, 1, "Jean Dupont nie !"), (0, 2, "Dupont, dit Petit, avoue le 3 mai 2020."), (1, 1, "Dupont avoue le 3 mai 2020.")]
+    want = {(p, i + 1, *c) for p in (1, 2) for i, c in enumerate(cut)} | {(1, 5, 2, 1, "Le petit pont.")}
+    assert {(r.person_id, r.row, r.chunk_ord, r.sent_no, r.label) for r in rows.collect()} == want
+    assert {(r.person_id, r.row, r.date) for r in events.collect()} == {(p, i, "3 mai 2020") for p in (1, 2) for i in (1, 2)}
+    for got in (rows, events):
+        plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+        assert plan.count("Exchange hashpartitioning(person_id") == 1
+    assert evidence.person_sentences(df, who).count() == 11
