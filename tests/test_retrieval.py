@@ -139,3 +139,50 @@ def test_parts_make_up_the_whole(spark):
     for size in (1, 10, 1000):
         parts = parted_concat(df, ["k"], ["id"], page_block("id", 2), "text", size).orderBy("part").collect()
         assert "\n\n".join(r.text for r in parts) == whole and (size > 10 or len(parts) > 2)
+
+
+def template_case(spark):
+    rng = random.Random(4)
+    first = ["jean", "marie", "paul"]
+    rows = [("c" if i % 3 else "e", f"IDENTITE_{i % 11}.pdf" if i % 4 == 0 else f"dossier_{i % 7}", i, f"{' '.join(rng.choices(['audition', 'de', 'le', 'né', 'rien', 'vu'], k=rng.randint(1, 12)))} {rng.choice(first)} nom{i % 60}")
+            for i in range(400)]
+    chunks = spark.createDataFrame(rows, "case_id string, source string, chunk_ord bigint, text string").repartition(5)
+    asked = [(i, "c" if i % 3 else "e", f"{first[i % 2]} nom{i} première audition identité de né le de") for i in range(40)] + [(99, "c", "absent"), (98, "e", "nom7 nom8 nom9 nom10")]
+    return rows, chunks, spark.createDataFrame(asked, "query_id bigint, case_id string, text string")
+
+
+def test_queries_from_one_template_as_one_by_one(spark):
+    _, chunks, q = template_case(spark)
+    toks = lexical.tokenized(chunks)
+    for limit in (3, 20, 150):
+        want = lexical.word_scores(toks, lexical.weighted_words(toks, q))
+        want = sorted(tuple(r) for r in lexical.first_rows(want, ["query_id", "case_id"], [F.desc("score"), "chunk_ord"], limit, rank="rank").select(
+            "query_id", "case_id", "chunk_ord", "score", "rank").collect())
+        for few in (0, 20_000):
+            got = lexical.bm25(chunks, q, limit=limit, few=few).select("query_id", "case_id", "chunk_ord", "score", "rank").collect()
+            assert sorted(map(tuple, got)) == want and want
+
+
+def test_a_slice_holds_a_bound_of_scores(spark, monkeypatch):
+    from liasse.operators import best
+
+    rng = np.random.default_rng(1)
+    code, chunk = np.arange(30) % 10, np.repeat(np.arange(10), 3)
+    asked = lambda: best.Asked(np.repeat(np.arange(10), 5), np.tile(np.arange(5), 10), rng.permutation(50) / 7, 3.0)
+    one = asked()
+    whole, cut = best.Best(one, 2), best.Best(one, 2)
+    args = (chunk, code, np.ones(30, np.int64), np.arange(10) * 2, np.full(10, 3))
+    whole.add(*args)
+    monkeypatch.setattr(best, "CELLS", 5)  # one chunk at a time
+    cut.add(*args)
+    assert whole.batch("c").to_pydict() == cut.batch("c").to_pydict() and whole.batch("c").num_rows == 10
+
+
+def test_name_hits_rank_once_for_queries_that_meet_the_same_names(spark):
+    rows, chunks, q = template_case(spark)
+    want = []
+    for r in q.collect():
+        words = [w for w in r.text.replace("é", "e").replace("è", "e").split()]
+        scored = sorted((-sum(w in s.lower() for w in words), o) for c, s, o, _ in rows if c == r.case_id and any(w in s.lower() for w in words))
+        want += [(r.query_id, r.case_id, o, float(-n), k) for k, (n, o) in enumerate(scored[:30], 1)]
+    assert sorted(map(tuple, signals.name_hits(chunks, q, 30).collect())) == sorted(want) and want
