@@ -12,7 +12,8 @@ Texts that share a band are not paired with each other: each is held against
 the most central text of the band (its pivot: the one that meets most others
 over all its bands), verified links are merged into groups, the texts of bands with several groups are held against the most central
 text of the largest one, and only texts of a band which are still in different
-groups meet afterwards. Those meetings are pruned by the triangle inequality, which the
+groups meet afterwards. Those meetings are pruned by what each text has alone
+(see :func:`own_odds`; nothing is lost by that), by the triangle inequality, which the
 distance (1 - probability Jaccard) obeys, with the known distances to the
 pivot, and by the share of slots on which the signatures agree: a pair is
 verified from ``SIMILARITY - MARGIN`` on. A pair of just that similarity fails
@@ -161,6 +162,34 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return map_batches(joined, run, "a binary, b binary, similarity double")
 
 
+def own_odds(texts: DataFrame) -> DataFrame:
+    """node, odds of each text (text_key, _text) that has shingles none of the others has: u / (1 - u) for their share u of its weight.
+
+    Texts with the shares u and v of shingles that the other lacks have at most the similarity
+    1 / (1 + u / (1 - u) + v / (1 - v)): a common shingle of weights p and q adds 1 / (1 / p + v / q) at most,
+    which is concave, so the sum is at most that of all common weights at once, 1 - u and 1 - v.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = np.frombuffer(b"".join(batch.column("text_key").to_pylist()), ">i8").astype(np.int64).reshape(-1, 2)
+            rows = sh.column_shingles(batch.column("_text"))
+            for at in range(0, len(rows), 64):
+                found = [sh.weighted(r) for r in rows[at : at + 64]]
+                own = np.repeat(keys[at : at + 64], [len(k) for k, _ in found], axis=0)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(x) for x in (np.concatenate([k for k, _ in found]).view(np.int64), own[:, 0].copy(), own[:, 1].copy(),
+                                           np.concatenate([w / w.sum() for _, w in found]))], ["shingle", "high", "low", "share"])
+
+    each = map_batches(texts.select("text_key", "_text"), run, "shingle long, high long, low long, share double")
+    # numbers alone, so that the grouping hashes; the maximum of one row is that row
+    alone = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), *[F.max(c).alias(c) for c in ("high", "low", "share")]).filter("n = 1")
+    word = lambda c: F.lpad(F.hex(c), 16, "0")
+    share = F.least(F.sum("share"), F.lit(1.0))
+    return alone.groupBy("high", "low").agg(F.when(share < 1 - 1e-12, share / (1 - share)).otherwise(float("inf")).alias("odds")).select(
+        F.unhex(F.concat(word("high"), word("low"))).alias("node"), "odds")
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, root (the smallest node of its component), for all nodes of the links (a, b).
 
@@ -209,25 +238,31 @@ def _by_group(buckets: DataFrame, roots: DataFrame, central: DataFrame) -> DataF
     return staged(full.drop("pivot", "root").join(open_bands, "band"))
 
 
-def _meetings(buckets: DataFrame, near: DataFrame, roots: DataFrame, one: DataFrame, threshold: float, margin: float, slots: int) -> DataFrame:
+def _meetings(buckets: DataFrame, near: DataFrame, roots: DataFrame, one: DataFrame, threshold: float, margin: float, slots: int,
+              odds: DataFrame | None = None) -> DataFrame:
     """Pairs of a band that are still in different groups and may be similar, each from the first band it shares.
 
     Per band the largest group stays whole; texts outside it meet the others
     of the band. Pairs go whose distances to the pivot differ by more than a
     link is long, or whose signatures agree on fewer slots than
-    threshold - margin.
+    threshold - margin. With ``odds`` (:func:`own_odds` of all texts of the
+    buckets), texts go that have too much alone for any link, and pairs that
+    have so together.
     """
     known = near.select(F.col("a").alias("node"), F.col("b").alias("pivot"), (1 - F.col("similarity")).alias("far"))
     full, main = _mains(buckets.join(known, ["node", "pivot"], "left").withColumn("far", F.coalesce("far", F.lit(0.0))), roots)
-    sides = staged(full.join(main.filter("groups > 1").select("band", "main"), "band").filter("node <> pivot")
+    most = 1 / threshold - 1 + 1e-9
+    held = full.withColumn("odds", F.lit(0.0)) if odds is None else full.join(odds, "node", "left").withColumn("odds", F.coalesce("odds", F.lit(0.0)))
+    sides = staged(held.join(main.filter("groups > 1").select("band", "main"), "band").filter((F.col("node") != F.col("pivot")) & (F.col("odds") <= most))
                    .join(one.select(F.col("text_key").alias("node"), "sig", "bands"), "node"))
     side = sides.filter("root <> main").select(
-        "band", "no", F.col("node").alias("x"), F.col("root").alias("xr"), F.col("far").alias("xf"), F.col("sig").alias("xs"), F.col("bands").alias("xb"))
+        "band", "no", F.col("node").alias("x"), F.col("root").alias("xr"), F.col("far").alias("xf"), F.col("sig").alias("xs"), F.col("bands").alias("xb"), F.col("odds").alias("xo"))
     other = sides.select(
-        "band", "main", F.col("node").alias("y"), F.col("root").alias("yr"), F.col("far").alias("yf"), F.col("sig").alias("ys"), F.col("bands").alias("yb"))
+        "band", "main", F.col("node").alias("y"), F.col("root").alias("yr"), F.col("far").alias("yf"), F.col("sig").alias("ys"), F.col("bands").alias("yb"), F.col("odds").alias("yo"))
     first = F.array_position(F.zip_with("xb", "yb", lambda p, q: p == q), True)
     met = side.join(other, "band").filter(
         (F.col("xr") != F.col("yr")) & (F.abs(F.col("xf") - F.col("yf")) <= 1 - threshold + 1e-9)
+        & (F.col("xo") + F.col("yo") <= most)
         & ((F.col("yr") == F.col("main")) | (F.col("x") < F.col("y")))
         & (differing(F.col("xs"), F.col("ys"), slots) <= slots * (1 - threshold + margin)) & (first == F.col("no") + 1))
     return met.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
@@ -260,7 +295,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", bands: int = BANDS, row
     near = staged(verified(staged(buckets.filter("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()), texts))
     links = links.unionByName(near.filter(F.col("similarity") >= threshold))
     roots = components(links)
-    more = staged(verified(staged(_meetings(buckets, near, roots, one, threshold, margin, slots)), texts)).filter(F.col("similarity") >= threshold)
+    odds = staged(own_odds(texts.join(buckets.select(F.col("node").alias("text_key")).distinct(), "text_key", "left_semi")))
+    more = staged(verified(staged(_meetings(buckets, near, roots, one, threshold, margin, slots, odds)), texts)).filter(F.col("similarity") >= threshold)
     if not more.isEmpty():
         links = links.unionByName(more)
         roots = components(links)

@@ -182,3 +182,38 @@ def test_differing_slots_are_counted(spark):
     b = np.where(rng.random(512) < 0.3, rng.integers(0, 256, 512), a).astype(np.uint8)
     df = spark.createDataFrame([(a.view(np.int64).tolist(), b.view(np.int64).tolist())], "a array<long>, b array<long>")
     assert df.select(minhash.differing(F.col("a"), F.col("b"))).first()[0] == int((a != b).sum())
+
+
+def test_what_texts_have_alone_bounds_their_similarity(spark):
+    rng = np.random.default_rng(11)
+    vocab = [f"w{i}" for i in range(500)]
+    base = [vocab[i] for i in rng.integers(0, 500, 80)]
+    texts = {}
+    for i in range(60):  # changed, lengthened and cut copies
+        words = list(base[: int(rng.integers(40, 81))])
+        for k in rng.integers(0, len(words), int(rng.integers(0, 6))):
+            words[k] = vocab[rng.integers(0, 500)]
+        texts[bytes([255 - i] + [200] * 15)] = plain(" ".join(words + base[: int(rng.integers(0, 30))]))
+    df = spark.createDataFrame(list(texts.items()), "text_key binary, _text string").repartition(3)
+    got = {bytes(r["node"]): r["odds"] for r in minhash.own_odds(df).collect()}
+    held = {k: weights(t) for k, t in texts.items()}
+    for k, (keys, w) in held.items():
+        others = np.concatenate([v[0] for o, v in held.items() if o != k])
+        own = w[~np.isin(keys, others)].sum() / w.sum()
+        assert abs(got.get(k, 0.0) - own / (1 - own)) < 1e-9
+    for k in held:
+        for o in held:
+            assert k == o or minhash.probability_jaccard(held[k], held[o]) <= 1 / (1 + got.get(k, 0) + got.get(o, 0)) + 1e-9
+
+
+def test_texts_with_much_of_their_own_don_t_meet(spark):
+    sig = np.zeros(512, np.uint8).view(np.int64).tolist()
+    keys = [b"p", *[b"x%d" % i for i in range(40)]]
+    buckets = spark.createDataFrame([(0, 5, k, b"p") for k in keys], "no int, band long, node binary, pivot binary")
+    near = spark.createDataFrame([(k, b"p", 0.79) for k in keys[1:]], "a binary, b binary, similarity double")
+    roots = spark.createDataFrame([], "node binary, root binary")
+    one = spark.createDataFrame([(k, sig, [5]) for k in keys], "text_key binary, sig array<long>, bands array<long>")
+    # two with little of their own, one that may be linked to the first of them only, others that can't be linked at all
+    odds = spark.createDataFrame([(b"x1", 0.05), (b"x2", 0.22), *[(k, 0.3) for k in keys[4:]]], "node binary, odds double")
+    met = minhash._meetings(buckets, near, roots, one, minhash.SIMILARITY, minhash.MARGIN, minhash.SLOTS, odds).collect()
+    assert {(bytes(r["a"]), bytes(r["b"])) for r in met} == {(b"x1", b"x0"), (b"x2", b"x0")}
