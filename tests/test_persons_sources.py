@@ -4,6 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from liasse.functions.dates import fact_time
 from liasse.operators import evidence, persons as P
 from liasse.plans.ingest import ingest_batch
 from liasse.sources import corpus, pages as S
@@ -67,6 +68,12 @@ def test_classes_and_timeline(spark):
     assert [r.event_date for r in evidence.fact_timeline(evidence.classify_occurrences(occ)).collect()] == ["2020-03-04T09:05"]
 
 
+def test_fact_time_of_a_whole_hour(spark):
+    texts = ["vu à 14h, puis à 15h30", "vers 9h.", "à 25h, 14h5 et 99:99 puis 8:05", "à 24h", "rien"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    assert [r[0] for r in df.orderBy("i").select(fact_time(F.col("t"))).collect()] == ["14:00", "09:00", "08:05", None, None]
+
+
 def test_snapshot_layouts(spark, tmp_path):
     for case, data in (("a", {"chunks": ["x", "y"], "sources": [{"source": "f", "page": 2, "is_fact": True}]}), ("b", [{"text": "z", "meta": {"source": "g"}}])):
         os.makedirs(tmp_path / case)
