@@ -10,9 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from liasse import rules
-from liasse.functions.text import strip_ends
+from liasse.functions.text import has_any, strip_ends
 from liasse.operators.segment import DOC
-from liasse.operators.signals import has_any
 from liasse.plans.ordering import capped_concat, page_block, parted_concat, running_total
 from liasse.schemas import with_chunk_meta
 from liasse.session import staged

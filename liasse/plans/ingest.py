@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from liasse.operators import segment
 from liasse.operators.chunking import build_chunks
-from liasse.operators.segment import DOC
 from liasse.session import path_exists
 from liasse.sources import corpus
 
@@ -20,7 +18,7 @@ def ingest_batch(spark: SparkSession, pages: DataFrame, root: str, batch: str, b
     """Add the new documents of a batch; known content is skipped (``by_name``: under the same name only), ordinals go on.
 
     The new pages and the packed pages are written once under ``staging``, so
-    no later step reads the source again. Both corpus tables are partitioned
+    no later step reads the source again; digests, units and tags are worked out once. Both corpus tables are partitioned
     by case and batch and a batch overwrites only its own partitions, so a
     batch that is run again after a failure leaves the same rows once.
     """
@@ -35,8 +33,9 @@ def ingest_batch(spark: SparkSession, pages: DataFrame, root: str, batch: str, b
     if stored is not None:
         earlier = stored.filter(F.col("batch") != batch)
         base = earlier.groupBy("case_id").agg((F.max("chunk_ord") + 1).alias("n_chunks"))
-    units = segment.tag_unit_type(segment.segment_units(new).join(segment.tag_documents(new), DOC))
     build_chunks(new, base, staging=staged).write.mode("overwrite").parquet(f"{staged}/chunks")
     chunks = spark.read.parquet(f"{staged}/chunks")
-    tables = {"chunks": chunks, "documents": corpus.build_catalog(chunks, units, new)}
+    # units are as the chunks have them, digests as the pages were told apart by
+    units, told = spark.read.parquet(f"{staged}/units"), spark.read.parquet(f"{staged}/pages")
+    tables = {"chunks": chunks, "documents": corpus.build_catalog(chunks, units, told)}
     corpus.write_corpus({n: t.withColumn("batch", F.lit(batch)) for n, t in tables.items()}, root)

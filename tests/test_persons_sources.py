@@ -183,3 +183,17 @@ def test_sentences_are_dealt_by_person_once(spark):
         plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
         assert plan.count("Exchange hashpartitioning(person_id") == 1
     assert evidence.person_sentences(df, who).count() == 11
+
+
+def test_ingest_finds_titles_and_digests_once(spark, tmp_path, monkeypatch):
+    from liasse.operators import segment
+
+    calls = []
+    for module, name in ((segment, "number_pages"), (segment, "tag_documents"), (corpus, "content_hashes")):
+        whole = getattr(module, name)
+        monkeypatch.setattr(module, name, lambda df, whole=whole, name=name: calls.append(name) or whole(df))
+    root = str(tmp_path / "corpus")
+    ingest_batch(spark, _pages(spark, [("c", "a.txt", 1, "RAPPORT un. Fin."), ("c", "b.txt", 1, "")]), root, "b1")
+    assert sorted(calls) == ["content_hashes", "number_pages", "tag_documents"]
+    docs = {r.source: r for r in corpus.read_table(spark, root, "documents").collect()}
+    assert docs["a.txt"].n_pages == 1 and docs["a.txt"].content_hash != docs["b.txt"].content_hash and docs["b.txt"].n_chunks == 0

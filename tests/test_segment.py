@@ -134,3 +134,21 @@ def test_fields_of_all_pages_as_by_growing_prefixes(spark):
     assert got["u0"][0]["nom"] == "DUPONT" and got["u1"][0]["nom"] == "TARD" and got["u2"][0]["adresse"].startswith("au 4 rue B")
     few = {r.source: r.fields for r in identity.scan_fields(df, 5).collect()}
     assert "nom" not in few["u0"]
+
+
+def test_anchor_is_written_once(spark):
+    pages = spark.createDataFrame([("c", "a.txt", 1, "RAPPORT un. Fin.")], "case_id string, source string, page int, text string")
+    units = segment.segment_units(pages).withColumn("doc_type", F.lit("pv")).withColumn("doc_date", F.lit("2020-01-01")).withColumn("unit_type", F.lit("pv"))
+    anchors = segment.unit_anchors(segment.number_units(pages), units)
+    assert anchors._jdf.queryExecution().optimizedPlan().toString().count("ACTE / UNITÉ") == 1
+    assert anchors.count() == 1
+
+
+def test_cues_lose_nothing(spark):
+    texts = ["Fait le 3.\x85NOM : Dupont\x0bPRÉN0M : Jean ADRESSE : 3 rue A\nné\tle 5 mai 1980", "Elle est née\n le 5 juin. Il demeure à Lyon. Nationalité française",
+             "RÉSIDENCE : ici\r\nMÈRE : Anne\r\nNATION : F", "PV d’audition", "vérification d'Identité", "conſtat", "", None]
+    df = spark.createDataFrame([("c", "s", i, t) for i, t in enumerate(texts)], "case_id string, source string, page int, text string")
+    rows = df.orderBy("page").select(F.size(identity.page_fields(F.col("text"))).alias("n"), identity.possible_fields(F.col("text")).alias("most")).collect()
+    assert [r.n for r in rows] == [4, 3, 3, 0, 0, 0, 0, 0] and all(r.n <= r.most for r in rows)
+    titles = [r.title for r in segment.detect_titles(df).orderBy("page").collect()]
+    assert titles[3:6] == texts[3:6] and titles[6:] == [None, None]

@@ -69,3 +69,19 @@ def test_small_columns(spark):
     assert list(got) == ["J. Dupont", "JD"]
     assert one(spark, "a" * 500, T.clean_value) == "a" * 450
     assert one(spark, "﷽ ｶﾞ ①", lambda c: T.clean_ws(c, full_nfkc=True)) == unicodedata.normalize("NFKC", "﷽ ｶﾞ ①")
+
+
+def test_folding_by_table_is_that_by_pattern(spark):
+    def strip(s):
+        return "".join(c for c in unicodedata.normalize("NFD", unicodedata.normalize("NFKC", s)) if unicodedata.category(c) != "Mn")
+
+    def flat(s):
+        return re.sub(r"[\t-\r\x1c-\x20]+", " ", "".join(" " if c.isspace() else c for c in s)).strip(" ")
+
+    odd = ["  Été\t\r\n à  Nîmes\x1f. Œuvre « ½ ﬁn » … №3 ™", "été  x　y", "ＡＢＣ １２", "\t", "", "plain  text ", "a\x85b c"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(odd)], "i int, t string").orderBy("i")
+    assert [r[0] for r in df.select(T.norm_text(F.col("t"))).collect()] == [flat(strip(t.lower())) for t in odd]
+    got = [r[0] for r in df.select(T.sentences(F.col("t"))).collect()]
+    assert got[0] == ["Été à Nîmes .", "Œuvre « 1⁄2 fin » .", ".", ".", "No3 TM"] and got[3:6] == [[], [], ["plain text"]]
+    value = [r[0] for r in df.select(T.clean_value(F.col("t"))).collect()]
+    assert value == [re.sub(r"[\t-\r \x85\xa0  　]+", " ", t).strip(" ") for t in odd]
