@@ -197,3 +197,24 @@ def test_ingest_finds_titles_and_digests_once(spark, tmp_path, monkeypatch):
     assert sorted(calls) == ["content_hashes", "number_pages", "tag_documents"]
     docs = {r.source: r for r in corpus.read_table(spark, root, "documents").collect()}
     assert docs["a.txt"].n_pages == 1 and docs["a.txt"].content_hash != docs["b.txt"].content_hash and docs["b.txt"].n_chunks == 0
+
+
+def test_cues_of_scores_lose_nothing(spark):
+    from liasse import rules
+    from liasse.functions.text import norm_text
+
+    texts = ["Née  le\t5 juin", "né le 3", "ne le ٣", "divorce", "fille de", "domicilié chez z", "Domiciliée a x, demeurant au y, résidant a z", "de nationalité f, de profession g, célıbataire", "Mariée divorcé VEUF fils de fille de",
+             "réquısıtıon extraction téléphonique", "exploitation du téléphone perquısıtıon", "commission rogatoıre écoutes téléphoniques", "exploitation de scellé facturation détaillée", "adresse actuelle chez", ""]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(norm_text(F.col("t")).alias("f"))
+    for patterns, cues in ((rules.CIVIL, rules.CIVIL_CUES), (rules.PROCEDURAL, rules.PROCEDURAL_CUES), (rules.ADDRESS, rules.ADDRESS_CUES)):
+        whole = sum((F.col("f").rlike(p).cast("int") for p in patterns), F.lit(0))
+        assert df.agg(F.sum(whole)).first()[0] >= len(patterns) - 1
+        assert df.filter(P._hits(patterns, cues, F.col("f")) != whole).count() == 0
+
+
+def test_snippet_is_cleaned_once(spark):
+    from liasse.functions.text import snippet
+
+    df = spark.createDataFrame([("a  b\x85" * 200,)], "t string").select(snippet(F.col("t"), F.lit(10), F.lit(700)).alias("s"))
+    assert _plan(df).count("translate(") == 1
+    assert df.first()[0] == ("a b " * 200)[:280] + "…"
